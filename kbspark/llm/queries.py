@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import winnow
+from . import bitpack, winnow
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where a public vocabulary file is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids, written bit-packed and read back."""
+    manifest = bitpack.write_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path())
+    return bitpack.token_digests(manifest)
+
+
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contamination of every document by every benchmark item."""
     found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
