@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, winnow
+from . import bitpack, dartminhash, winnow
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,6 +38,11 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return dartminhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
