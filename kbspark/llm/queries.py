@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, dartminhash, winnow
+from . import bitpack, dartminhash, poisson_mix, url_digest, warc_shards, winnow
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,14 +38,74 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: (host, path, verdict)
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op6_url_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's url."""
+    manifest = url_digest.write_rules(url_digest.rules_table(spark, URL_RULES))
+    return url_digest.filtered(_table(spark, sf_dir, "pages"), manifest)
+
+
+OP6_SQL = """
+WITH rules(host, path, verdict) AS (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'),
+  ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+rest AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS r FROM pages),
+parts AS (SELECT page_id, coalesce(translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+  coalesce(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS rn FROM rest),
+fit AS (SELECT rn, max_by(r.host || r.path, (length(r.host) + length(r.path)) * 1000 + length(r.host)) AS rule,
+  max_by(r.verdict, (length(r.host) + length(r.path)) * 1000 + length(r.host)) AS verdict
+  FROM parts p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY rn)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM parts LEFT JOIN fit USING (rn)
+"""
+
+
+def op7_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture of all documents, sources weighted by the root of their size; every copy with its text."""
+    copies = poisson_mix.shuffled(poisson_mix.replicated(_table(spark, sf_dir, "documents")))
+    return copies.select("doc.*", F.round("rate", 9).alias("rate"), "n_copies", "copy", "shuffle_key")
+
+
+OP7_SQL = r"""
+WITH sizes AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+sums AS (SELECT sum(pow(n::DOUBLE, 0.5)) AS w, sum(n)::DOUBLE AS wanted FROM sizes),
+rates AS (SELECT source, pow(n::DOUBLE, 0.5) * wanted / w / n AS rate FROM sizes, sums),
+steps AS (SELECT source, rate, greatest(ceil(rate / 16), 1)::INT AS steps FROM rates),
+cdf AS (SELECT source, rate, steps, k, sum(exp(-rate / steps + k * ln(rate / steps) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c
+  FROM steps, generate_series(0, 96) AS s(k)),
+uniform AS (SELECT d.doc_id, d.source, i,
+  (('0x' || substr(md5('mix-1|n|' || i || '|' || coalesce(d.doc_id::VARCHAR, '\N')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+  FROM (SELECT DISTINCT doc_id, source FROM documents) d JOIN steps s ON s.source IS NOT DISTINCT FROM d.source, generate_series(1, s.steps) AS g(i)),
+drawn AS (SELECT u.doc_id, u.source, count(c.k)::INT AS n_copies FROM uniform u LEFT JOIN cdf c ON c.source IS NOT DISTINCT FROM u.source AND c.c <= u.u GROUP BY u.doc_id, u.source)
+SELECT d.*, round(s.rate, 9) AS rate, r.n_copies, copy::INT AS copy,
+  (('0x' || substr(md5('mix-1|order|' || copy || '|' || coalesce(d.doc_id::VARCHAR, '\N')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS shuffle_key
+FROM documents d JOIN drawn r ON r.doc_id IS NOT DISTINCT FROM d.doc_id AND r.source IS NOT DISTINCT FROM d.source
+JOIN steps s ON s.source IS NOT DISTINCT FROM d.source, generate_series(1, r.n_copies) AS g(copy)
+"""
+
+
 def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return dartminhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op10_warc_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as WARC archives and read back."""
+    manifest = warc_shards.write_archives(_table(spark, sf_dir, "pages"))
+    records = warc_shards.read_archives(manifest, payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracles():
-    return {}
+    return {"op6_url_digest": OP6_SQL, "op7_poisson_mix": OP7_SQL}
