@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, dartminhash, poisson_mix, url_digest, warc_shards, winnow
+from . import bitpack, dartminhash, onebit_ann, poisson_mix, url_digest, warc_shards, winnow
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,6 +38,11 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all others."""
+    return onebit_ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 #: (host, path, verdict)
 URL_RULES = [
     ("com", "/en/", "block"),
