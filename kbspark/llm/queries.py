@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, dartminhash, langid_kernel, onebit_ann, poisson_mix, url_digest, warc_shards, winnow
+from . import bitpack, dartminhash, langid_kernel, lm_maxent, onebit_ann, poisson_mix, url_digest, warc_shards, winnow
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +19,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold_of(doc_id: str = "doc_id"):
+    """The contract's fold of a document: CRC-32 of its id as text, modulo 5 (null: the CRC of an empty text)."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
+
+
+def op1_lm_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every document, learnt from four fifths of them."""
+    docs = _table(spark, sf_dir, "documents")
+    model, counts = lm_maxent.train(docs.where(fold_of() != 1))
+    found = lm_maxent.score(docs, model, counts)
+    return found.select("doc_id", (fold_of() == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids, written bit-packed and read back."""
     manifest = bitpack.write_token_ids(_table(spark, sf_dir, "documents"), tokenizer_path())
@@ -43,11 +56,6 @@ def op4_onebit_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return onebit_ann.nearest(_table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-def fold_of(doc_id: str = "doc_id"):
-    """The contract's fold of a document: CRC-32 of its id as text, modulo 5 (null: the CRC of an empty text)."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5
-
-
 def op5_langid_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from four fifths of the labelled ones."""
     docs = _table(spark, sf_dir, "documents")
