@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitpack, dartminhash, langid_kernel, lm_maxent, onebit_ann, poisson_mix, url_digest, warc_shards, winnow
+from . import bitpack, dartminhash, langid_kernel, license_digest, lm_maxent, onebit_ann, poisson_mix, url_digest, warc_shards, winnow
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -117,6 +117,33 @@ JOIN steps s ON s.source IS NOT DISTINCT FROM d.source, generate_series(1, r.n_c
 """
 
 
+def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses of every whole document and of its whole lines."""
+    found = license_digest.scan(_table(spark, sf_dir, "documents"), license_digest.known_licenses(spark))
+    return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
+
+
+def _op8_sql() -> str:
+    def canonical(x: str) -> str:
+        out = f"regexp_replace(lower({x}), '{license_digest._COPYRIGHT_LINE}', '\\1', 'g')"
+        out = f"regexp_replace({out}, '{license_digest._PUNCTUATION}', ' ', 'g')"
+        for old, new in license_digest.SPELLINGS:
+            out = f"replace({out}, '{old}', '{new}')"
+        return f"trim({out})"
+
+    texts = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in license_digest.LICENSES)
+    return f"""
+WITH known AS (SELECT DISTINCT sha256({canonical("t")}) AS digest, license_id FROM (VALUES {texts}) AS v(license_id, t)),
+docs AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
+whole AS (SELECT rn, doc_id, {canonical("text")} AS c FROM docs),
+lines AS (SELECT rn, {canonical("line")} AS c FROM (SELECT rn, unnest(string_split(text, chr(10))) AS line FROM docs)),
+notices AS (SELECT rn, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM lines JOIN known ON known.digest = sha256(c) WHERE c <> '' GROUP BY rn),
+least AS (SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest)
+SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest, license_id, coalesce(notices, '') AS notices
+FROM whole LEFT JOIN notices USING (rn) LEFT JOIN least ON least.digest = CASE WHEN c <> '' THEN sha256(c) END
+"""
+
+
 def op9_dartminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document."""
     return dartminhash.classes(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
@@ -134,4 +161,4 @@ def queries():
 
 
 def oracles():
-    return {"op6_url_digest": OP6_SQL, "op7_poisson_mix": OP7_SQL}
+    return {"op6_url_digest": OP6_SQL, "op7_poisson_mix": OP7_SQL, "op8_license_digest": _op8_sql()}
