@@ -129,10 +129,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     spark = docs.sparkSession
     rows = docs.where(learn) if learn is not None else docs
     rows = rows.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    # Ids are chosen first, without texts; a window limit keeps each task to the rows it needs.
-    languages = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
-    ids = rows.select("id", "lang", F.xxhash64(F.lit(7), "id").alias("order")).join(F.broadcast(languages), "lang", "left_semi")
-    ids = ids.selectExpr("id", "lang", "order", "row_number() over (partition by lang order by order, id) as place").where(F.col("place") <= per_language)
+    # Ids are chosen first, without texts, in hash order.  The languages' counts tell which part of the
+    # hashes holds enough of them, so that few rows are sorted however many there are.
+    languages = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    ids = rows.select("id", "lang", F.xxhash64(F.lit(7), "id").alias("order")).join(F.broadcast(languages), "lang")
+    ids = ids.where((F.col("order") / F.lit(2.0**64) + 0.5) * F.col("count") < 2 * per_language + 100)
+    ids = ids.selectExpr("id", "lang", "row_number() over (partition by lang order by order, id) as place").where(F.col("place") <= per_language)
     # At most LANGUAGES x per_language ids.
     picked = F.broadcast(storage.materialise(ids.select("id", "lang").distinct(), spark, "sample-ids"))
 
