@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -26,3 +27,31 @@ def ship(spark: SparkSession) -> SparkSession:
                         out.write(path, os.path.relpath(path, os.path.dirname(here)))
         spark.sparkContext.addPyFile(name)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where it is unset, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if held.isDefined():
+            root = held.get()
+        else:
+            root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
+            spark.sparkContext.setCheckpointDir(root)
+    if "://" not in root and not root.startswith("file:"):
+        root = "file://" + os.path.abspath(root)
+    return root
+
+
+def new_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder name for one run of one job; nothing is reused between runs."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: it cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{new_dir(spark, name)}/table"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
