@@ -9,11 +9,16 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of one batch handed to a Python worker.
+ARROW_BYTES = "8m"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Send this package to the executors, once for each application, so that Python workers can import it."""
+    """Make a session ready for this package: Python workers can import it, and get batches of bounded size."""
+    # A batch for Python is bounded by bytes, whatever the length of its texts.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)
