@@ -1,3 +1,3 @@
 """Registered queries: operators applied to the test tables."""
 
-from . import corpus  # noqa: F401
+from . import corpus, links, search, vectors  # noqa: F401
