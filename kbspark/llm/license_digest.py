@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import storage
+
 BROADCAST_LICENSES = 100_000
 
 # Stems with two spellings, and phrases that mean the same (from, to).
@@ -48,42 +50,61 @@ _COPYRIGHT_LINE = r"(^|\n)[^\p{L}\p{N}\n(©]*(copyright|\(c\)|©|all rights rese
 _PUNCTUATION = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """The canonical form of a text."""
-    x = F.lower(text)
-    marked = x.contains("copyright") | x.contains("(c)") | x.contains("©") | x.contains("all rights reserved")
-    x = F.when(marked, F.regexp_replace(x, _COPYRIGHT_LINE, "$1")).otherwise(x)
-    x = F.regexp_replace(x, _PUNCTUATION, " ")
+def _marked(low: Column) -> Column:
+    return low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("all rights reserved")
+
+
+def spelled(x: Column) -> Column:
+    """One spelling for words that have several."""
     for old, new in SPELLINGS:
         x = F.replace(x, F.lit(old), F.lit(new))
     return F.trim(x)
 
 
-def digest(text: Column) -> Column:
-    """SHA-256 of the canonical form; null if nothing is left of it."""
-    x = canonical(text)
-    return F.when(x != "", F.sha2(x.cast("binary"), 256))
+def with_digest(rows: DataFrame, text: str, name: str = "digest") -> DataFrame:
+    """A column with the SHA-256 of a text's canonical form; an empty string if nothing is left of it.
+
+    Each step has a column of its own, so that nothing is worked out twice; the
+    digest is never null, so that no join asks for it once more.
+    """
+    x = F.col("__low")
+    rows = rows.withColumn("__low", F.lower(F.coalesce(text, F.lit(""))))
+    rows = rows.withColumn("__kept", F.when(_marked(x), F.regexp_replace(x, _COPYRIGHT_LINE, "$1")).otherwise(x))
+    rows = rows.withColumn("__canon", spelled(F.regexp_replace("__kept", _PUNCTUATION, " ")))
+    rows = rows.withColumn(name, F.when(F.col("__canon") == "", F.lit("")).otherwise(F.sha2(F.col("__canon").cast("binary"), 256)))
+    return rows.withColumn(name, F.coalesce(name, F.lit(""))).drop("__low", "__kept", "__canon")
+
+
+def opening(text: Column) -> Column:
+    """Up to three characters of a text's first word; no change of spelling alters them."""
+    return F.lower(F.regexp_extract(text, r"^[^\p{L}\p{N}]*([\p{L}\p{N}]{1,3})", 1))
 
 
 def known_digests(licenses: DataFrame) -> DataFrame:
-    """(digest, license_id) of a table (license_id, text); a license may have several texts."""
-    return licenses.select(digest(F.col("text")).alias("digest"), "license_id").where(F.col("digest").isNotNull()).distinct()
+    """(digest, license_id, opening) of a table (license_id, text); a license may have several texts."""
+    rows = with_digest(licenses.select("license_id", "text"), "text").where("digest <> ''")
+    # The canonical text may begin behind copyright lines.
+    begin = opening(F.regexp_replace(F.lower("text"), _COPYRIGHT_LINE, "$1"))
+    return rows.select("digest", "license_id", begin.alias("opening")).distinct()
 
 
 def scan(docs: DataFrame, licenses: DataFrame, doc_id: str = "doc_id", text: str = "text", broadcast_licenses: int = BROADCAST_LICENSES) -> DataFrame:
     """One row per document: (doc_id, digest, license_id, notices): the whole text's digest and license, and the sorted licenses of its lines."""
-    known = known_digests(licenses)
-    if known.count() <= broadcast_licenses:
-        known = F.broadcast(known)
+    spark = docs.sparkSession
+    known = storage.materialise(known_digests(licenses), spark, "licenses")
+    small = known.count() <= broadcast_licenses
+    near = (lambda df: F.broadcast(df)) if small else (lambda df: df)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    # Lines meet the known digests where they are read; only the few that match are shuffled.
+    # A line can only be a license that opens as it does: most go before they are made canonical.
     lines = rows.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.split("text", "\n")).alias("line"))
-    found = lines.withColumn("digest", digest(F.col("line"))).join(known, "digest").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
+    lines = lines.withColumn("opening", F.coalesce(opening(F.col("line")), F.lit(""))).join(near(known.select("opening").distinct()), "opening", "left_semi")
+    # Those left meet the known digests where they are read; only the few that match are shuffled.
+    found = with_digest(lines, "line").join(near(known.select("digest", "license_id").distinct()), "digest").groupBy("doc_id", "key").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
     found = found.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "notices")
     least = known.groupBy("digest").agg(F.min("license_id").alias("license_id"))
-    whole = rows.select("doc_id", F.xxhash64("text").alias("key"), digest(F.col("text")).alias("digest")).join(least, "digest", "left")
+    whole = with_digest(rows.select("doc_id", "text", F.xxhash64("text").alias("key")), "text").join(near(least), "digest", "left")
     joined = whole.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left")
-    return joined.select("doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    return joined.select("doc_id", F.when(F.col("digest") != "", F.col("digest")).alias("digest"), "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
