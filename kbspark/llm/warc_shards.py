@@ -98,8 +98,10 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     spark = pages.sparkSession
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("html"))
     keyed = rows.mapInArrow(_digested, "page_id long, url string, html string, digest string")
-    first = keyed.where(F.octet_length("html") >= min_revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first"))
-    first = storage.materialise(first, spark, "payloads")
+    # The pages' keys alone find each payload's response; their answers then travel beside the pages.
+    keys = storage.materialise(keyed.where(F.octet_length("html") >= min_revisit_bytes).select("page_id", "digest"), spark, "payloads")
+    first = keys.groupBy("digest").agg(F.max("page_id").alias("first"))
+    known = keys.distinct().join(first, "digest").select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
     root = storage.new_dir(spark, "warc")
 
@@ -116,14 +118,18 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
             done.append((shard, number, f"{root}/part-{attempt}/pages-{shard:06d}-{number:04d}.warc.gz", n, written, sha.hexdigest()))
             out, number = None, number + 1
 
+        answer: tuple = (None, None, None)
         for batch in batches:
             for i in range(batch.num_rows):
+                own, digest = batch.column("page_id")[i].as_py(), batch.column("digest")[i].as_py()
+                if not batch.column("html")[i].is_valid:
+                    answer = (own, digest, batch.column("first")[i].as_py())
+                    continue
                 if out is None:
                     files.create_dir(f"{base}/part-{attempt}", recursive=True)
                     out, n, written, sha = files.open_output_stream(f"{base}/part-{attempt}/pages-{shard:06d}-{number:04d}.warc.gz.tmp"), 0, 0, hashlib.sha256()
-                own, refers, known = batch.column("page_id")[i].as_py(), batch.column("first")[i].as_py(), batch.column("known")[i].as_py()
-                payload = _payload(batch.column("html")[i])
-                data = member(record(own, batch.column("url")[i].as_py(), payload, batch.column("digest")[i].as_py(), refers, known and refers != own, date))
+                refers = answer[2] if answer[:2] == (own, digest) else own
+                data = member(record(own, batch.column("url")[i].as_py(), _payload(batch.column("html")[i]), digest, refers, refers != own, date))
                 out.write(data)
                 sha.update(data)
                 n, written = n + 1, written + len(data)
@@ -134,9 +140,10 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
         if done:
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*done, strict=True)], names=["shard", "file", "path", "n_records", "n_bytes", "sha256"]).cast(pa.schema([("shard", pa.int32()), ("file", pa.int32()), ("path", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha256", pa.string())]))
 
-    joined = keyed.join(first.withColumn("known", F.lit(True)), "digest", "left").withColumn("known", F.coalesce("known", F.lit(False)))
-    ranged = joined.repartitionByRange(int(size // range_bytes) + 1, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
-    return storage.materialise(ranged.select("page_id", "url", "html", "digest", "first", "known").mapInArrow(write, MANIFEST), spark, "warc-manifest")
+    # An answer has no html and sorts before the pages of its id and digest.
+    both = keyed.select("page_id", "url", "html", "digest", F.lit(None).cast("long").alias("first")).unionByName(known)
+    ranged = both.repartitionByRange(int(size // range_bytes) + 1, "page_id", "digest").sortWithinPartitions("page_id", "digest", F.col("html").isNotNull(), "url")
+    return storage.materialise(ranged.mapInArrow(write, MANIFEST), spark, "warc-manifest")
 
 
 def members(stream, size: int = 1 << 20) -> Iterator[bytes]:
