@@ -173,8 +173,8 @@ class Reader:
 _WHITE = textscan.byte_class((0x09, 0x0D), (0x20, 0x20))
 #: Bytes that may be, or may begin, white space other than the common kinds.
 _UNSURE = textscan.byte_class((0x1C, 0x1F), (0xC2, 0xC2), (0xE1, 0xE3))
-_SLOTS = 1 << 22
-_POOL = 24 << 20
+_SLOTS = 1 << 21
+_POOL = 16 << 20
 
 
 class Encoder:
