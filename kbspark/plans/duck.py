@@ -40,7 +40,8 @@ CTES = {
   FROM (SELECT c.*, coalesce(o.title, 'nowhere') AS link FROM (SELECT c.*, (7 * id + 1) % n AS to_id FROM corpus c, (SELECT count(*) AS n FROM documents)) c
     LEFT JOIN corpus_rows o ON o.id = c.to_id)""",
     "headed_corpus": """SELECT id, owner_id, title, category, updated_at, '# ' || title || chr(10) || chr(10) || substr(body, 1, length(body) // 2) || chr(10) || chr(10) || '## part ' || (id % 3) || chr(10) || chr(10)
-  || CASE WHEN id % 6 = 0 THEN '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) ELSE '' END || substr(body, CAST(length(body) // 2 AS BIGINT) + 1) AS body FROM corpus""",
+  || CASE WHEN id % 6 = 0 THEN '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) ELSE '' END || substr(body, CAST(length(body) // 2 AS BIGINT) + 1) AS body
+  FROM (SELECT id, owner_id, category, updated_at, translate(title, '#`~', '---') AS title, translate(body, '#`~', '---') AS body FROM corpus)""",
     "folders": "SELECT DISTINCT source AS owner_id, lang || '/' || source || '/empty' AS path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL",
     "query_table": r"""SELECT conv_id * 1000 + turn AS query_id, q || CASE WHEN conv_id % 5 = 0 THEN ' tag:en' ELSE '' END || CASE WHEN conv_id % 7 = 0 THEN ' status:draft' ELSE '' END
   || CASE WHEN conv_id % 35 = 0 THEN ' type:note' ELSE '' END AS raw

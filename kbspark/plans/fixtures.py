@@ -12,7 +12,8 @@ AS_OF = "2024-01-31"
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    rows = spark.read.parquet(f"{d}/{name}.parquet")
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if name == "events" else rows
 
 
 def corpus_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -137,12 +138,14 @@ def linked_corpus(spark: SparkSession, d: str) -> DataFrame:
 def headed_corpus(spark: SparkSession, d: str) -> DataFrame:
     """Live concepts with a title heading, a second heading in the middle, and now and then fenced code."""
     half = (F.length("body") / 2).cast("int")
+    plain = lambda c: F.translate(c, "#`~", "---")
+    rows = corpus(spark, d).withColumn("body", plain("body")).withColumn("title", plain("title"))
     body = F.concat(
         F.lit("# "), "title", F.lit("\n\n"), F.substring("body", F.lit(1), half), F.lit("\n\n## part "), (F.col("id") % 3).cast("string"), F.lit("\n\n"),
         F.expr("CASE WHEN id % 6 = 0 THEN '```\\n# not a heading\\n```\\n' ELSE '' END"),
         F.expr("substring(body, CAST(length(body) / 2 AS INT) + 1)"),
     )
-    return corpus(spark, d).select("id", "owner_id", "title", "category", "updated_at", body.alias("body"))
+    return rows.select("id", "owner_id", "title", "category", "updated_at", body.alias("body"))
 
 
 def folders(spark: SparkSession, d: str) -> DataFrame:

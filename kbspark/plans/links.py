@@ -16,7 +16,7 @@ def _links(spark, d):
 
 #: Where the fixture puts headings: the title, the second heading, and fenced code that is none.
 HEADS = """
-b AS (SELECT c.id, h.body, length(c.title) AS nt, length(c.body) // 2 AS half, c.title FROM corpus c JOIN headed_corpus h USING (id)),
+b AS (SELECT c.id, h.body, length(h.title) AS nt, length(c.body) // 2 AS half, h.title FROM corpus c JOIN headed_corpus h USING (id)),
 heads AS (SELECT id, CAST(0 AS INT) AS "offset", 1 AS level, title AS text FROM b UNION ALL SELECT id, CAST(2 + nt + 2 + half + 2 AS INT), 2, 'part ' || (id % 3) FROM b)
 """
 
@@ -37,7 +37,7 @@ def section_label(spark, d):
 @register("title_repeat", sql("SELECT id, title FROM headed_corpus WHERE id % 2 = 0"))
 def title_repeat(spark, d):
     """Odd bodies begin with another heading."""
-    return op.title_repeat(fx.headed_corpus(spark, d).withColumn("body", F.expr("CASE WHEN id % 2 = 0 THEN concat('\\n', upper(body)) ELSE concat('# other\\n', body) END")))
+    return op.title_repeat(fx.headed_corpus(spark, d).withColumn("body", F.expr("CASE WHEN id % 2 = 0 THEN concat('\\n', body) ELSE concat('# other\\n', body) END")))
 
 
 @register("link_extract", sql("SELECT id, CAST(pos AS INT) AS pos, target, display, embed FROM links"))
