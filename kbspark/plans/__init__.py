@@ -1,3 +1,3 @@
 """Registered queries: operators applied to the test tables."""
 
-from . import corpus, curate, evidence, links, review, search, usage, vectors  # noqa: F401
+from . import bundle, corpus, curate, evidence, links, review, search, streams, usage, vectors  # noqa: F401
