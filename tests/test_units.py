@@ -68,7 +68,7 @@ def test_chunks_cover_and_advance(body, target, overlap):
 
 
 def test_headings():
-    assert headings("# A\n```\n# no\n```\n## B ##\n####### x\n    # code\n~~~\n# no\n~~~\n#\n") == [(0, 1, "A"), (19, 2, "B"), (65, 1, "#")]
+    assert headings("# A\n```\n# no\n```\n## B ##\n####### x\n    # code\n~~~\n# no\n~~~\n#\n") == [(0, 1, "A"), (17, 2, "B"), (59, 1, "#")]
     assert headings("plain\n#no space") == []
 
 
