@@ -60,3 +60,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{new_dir(spark, name)}/table"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def over_all_cores(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by hash of ``keys`` over all cores, for work that is heavy for its bytes: adaptive coalescing would give it to few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)

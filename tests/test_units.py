@@ -55,6 +55,7 @@ def test_word_similarity_agrees_with_all_stretches():
         want, have = set(trigram_list(needle)), trigram_list(body)
         best = max((len(want & set(have[i:j])) / len(want | set(have[i:j])) for i in range(len(have)) for j in range(i + 1, min(len(have), i + 4 * len(want)) + 1)), default=0.0) if want else 0.0
         assert abs(word_similarity(needle, Grams(body)) - best) < 1e-12
+        assert abs(word_similarity(needle, Grams(body), 0.4) - (best if best >= 0.4 else 0.0)) < 1e-12
     assert word_similarity("word", Grams("two words")) > 0.6
 
 
@@ -93,6 +94,45 @@ def test_mentions(spark):
     assert found("AI", "AISLE") == [] and found("AI", "about AI today") == [7]
     assert found("AI", "[[ AI ]]") == [] and len(found("AI", "[[AI]] and AI")) == 1
     assert len(found("知识", "个人知识库")) == 1 and len(found("++", "c++ x")) == 1
+    # Words that follow each other elsewhere, or in another way, are no mention; characters outside the first plane count once.
+    assert found("red blue car", "red blue and blue car") == [] and found("red blue", "red  blue") == [] and found("red blue car", "😀 red blue car") == [3]
+    assert found("f.x (a)", "call f.x (a) now") == [6] and found("zq-1 zq", None) == [] and found("é\tx", "an é\tx") == [4]
+
+
+def test_mentions_are_the_newest_of_each_concept(spark):
+    rows = [(i, "same words", "of same words" if i % 3 else "none") for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, title string, body string").withColumn("updated_at", F.expr("timestamp_seconds(id DIV 2)"))
+    found = {}
+    for r in links.unlinked_mentions(df, limit=5).orderBy("target_id", "rank").collect():
+        found.setdefault(r.target_id, []).append(r.source_id)
+    order = sorted((i for i in range(60) if i % 3), key=lambda i: (-(i // 2), i))
+    assert found == {i: [j for j in order if j != i][:5] for i in range(60)}
+
+
+def test_fuzzy_fallback_agrees_with_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(search, "NEEDLES_AT_ONCE", 2)
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(5))
+    docs = [(i, word(), None if i % 4 else word(), " ".join(word() for _ in range(rng.choice([0, 3, 40]))), "deprecated" if i % 5 == 0 else "stable") for i in range(30)]
+    docs.append((30, None, None, None, None))
+    needles = [(i, word() if i % 3 else "abcda") for i in range(9)] + [(9, "ab"), (10, None)]
+    corpus = spark.createDataFrame(docs, "id long, title string, description string, body string, status string").withColumn("updated_at", F.expr("timestamp_seconds(id DIV 3)"))
+    got = [tuple(r) for r in search.trgm_fallback(spark.createDataFrame(needles, "query_id long, needle string"), corpus, 4).orderBy("query_id", "rank").collect()]
+
+    def jaccard(a, b):
+        a, b = set(trigram_list(a)), set(trigram_list(b or ""))
+        return len(a & b) / len(a | b) if a | b else 0.0
+
+    want = []
+    for q, needle in needles[:9]:
+        hits = []
+        for i, title, note, body, status in docs:
+            sim, words = jaccard(needle, title), word_similarity(needle, Grams(body or ""))
+            if sim >= 0.1 or words >= 0.4:
+                hits.append((round((sim * 50 + words * 20 + jaccard(needle, note) * 12) * (0.25 if status == "deprecated" else 1.0), 6), i // 3, i))
+        hits.sort(key=lambda h: (-h[0], -h[1], h[2]))
+        want += [(q, rank, h[2], h[0], len(hits)) for rank, h in enumerate(hits[:4], 1)]
+    assert got == want
 
 
 def test_collapse_and_fuse(spark):
