@@ -370,6 +370,40 @@ def test_op9_classes_are_those_of_all_pairs(spark, docs, none):
     assert left.where("text is not null and text <> ''").count() == docs.where("text is not null and text <> ''").select("text").distinct().count() or left.count() < docs.count()
 
 
+def test_op9_variants_of_a_hub_are_one_class(spark):
+    """Each variant is near the hub alone, which has the highest id."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for at in 10 + 45 * np.arange(4) + rng.integers(0, 40, 4):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    rows.append((len(rows), " ".join(base)))
+    near = [dartminhash._packed(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0] for _, t in rows]
+    assert all(dartminhash.similarity(x, near[-1]) >= 0.8 for x in near) and dartminhash.similarity(near[0], near[1]) < 0.8
+    assert {r.class_id for r in dartminhash.classes(docs_of(spark, rows)).collect()} == {0}
+
+
+def test_op9_untried_pairs_lack_no_near_one(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for g in range(8):
+        words = [f"w{x}" for x in rng.integers(0, 60 if g % 2 else 3000, 120)]
+        for _ in range(12):
+            copy = list(words)
+            for at in rng.integers(0, 120, rng.integers(0, 5)):
+                copy[at] = f"v{rng.integers(0, 500)}"
+            rows.append(" ".join(copy[: 120 - rng.integers(0, 15)]))
+    held = [dartminhash._packed(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 5)[0] for t in rows]
+    df = spark.createDataFrame([(bytes([i]), bytes([i % 5]), bytes(x)) for i, x in enumerate(held)], "node binary, label binary, held binary")
+    got = [(r.a[0], r.b[0]) for r in dartminhash.untried(df, 0.8).collect()]
+    want = {(i, j) for j in range(len(rows)) for i in range(j) if i % 5 != j % 5 and dartminhash.similarity(held[i], held[j]) >= 0.8}
+    assert len(got) == len(set(got)) and want <= set(got) and all(i < j and i % 5 != j % 5 for i, j in got)
+    assert len(want) > 50
+
+
 def test_op9_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(1)
     a = {int(x): float(w) for x, w in zip(rng.integers(1, 2**50, 200), 1 + 3 * rng.random(200), strict=True)}
