@@ -10,23 +10,24 @@ from . import fixtures as fx
 from .duck import sql
 
 
-def _events(spark, d):
-    return jobs.stream(spark, f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(spark, d, files=8):
+    return jobs.stream(spark, f"{d}/events.parquet", files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 class _Streamed:
     """The fixtures' derivations over a stream of events."""
 
-    def __init__(self, spark):
+    def __init__(self, spark, files=8):
         self.spark = spark
+        self.files = files
         self.read = self
 
     def parquet(self, path):
-        return jobs.stream(self.spark, path)
+        return jobs.stream(self.spark, path, self.files)
 
 
-def _calls(spark, d):
-    return fx.model_calls(_Streamed(spark), d)
+def _calls(spark, d, files=8):
+    return fx.model_calls(_Streamed(spark, files), d)
 
 
 def _reports(events):
@@ -47,7 +48,7 @@ def s_log_ingest(spark, d):
 SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, path, count(*) AS total, count(*) FILTER (WHERE status >= 400) AS failed, round(avg(took_ms), 6) AS avg_ms FROM request_log
 WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM request_log) GROUP BY 1, 2"""))
 def s_traffic(spark, d):
-    rows = jobs.drained(jobs.traffic(fx.request_log(_Streamed(spark), d)), "traffic")
+    rows = jobs.drained(jobs.traffic(fx.request_log(_Streamed(spark, None), d)), "traffic")
     return rows.select(F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour"), "path", "total", "failed", F.round("avg_ms", 6).alias("avg_ms"))
 
 
@@ -55,7 +56,7 @@ def s_traffic(spark, d):
 WITH w AS (SELECT actor, date_trunc('minute', ts) + to_seconds(CAST(floor(second(ts) / 10) AS INT) * 10) - to_seconds(k * 10) AS since, ts FROM model_calls, (VALUES (0), (1), (2), (3), (4), (5)) AS ks(k))
 SELECT CAST(since AS VARCHAR) AS since, actor, count(*) AS n FROM w WHERE ts < since + INTERVAL 1 MINUTE AND since + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM model_calls) GROUP BY 1, 2 HAVING count(*) > 0"""))
 def s_call_rate(spark, d):
-    rows = jobs.drained(jobs.call_rate(_calls(spark, d), 0), "call-rate")
+    rows = jobs.drained(jobs.call_rate(_calls(spark, d, None), 0), "call-rate")
     return rows.select(F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "actor", "n")
 
 
@@ -79,7 +80,7 @@ def keyed(events, name):
 
 def _stateful(name):
     def run(spark, d):
-        return jobs.drained(jobs.stateful(keyed(_events(spark, d), name), KEYS[name][0]), name)
+        return jobs.drained(jobs.stateful(keyed(_events(spark, d, None), name), KEYS[name][0]), name)
 
     return run
 

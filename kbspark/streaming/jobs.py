@@ -20,10 +20,15 @@ Rule = Callable[[dict, dict], tuple[dict, str]]
 OUT = "key string, id long, at double, output string"
 
 
-def stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
-    """A table as a file stream; ``path`` names a file or a folder."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
+def stream(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
+    """A table as a file stream; ``path`` names a file or a folder.
+
+    Files come in no order of time.  A job with a watermark, or one that goes by
+    the order of events, must have all that is stored in one trigger: ``files`` None.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = reader if files is None else reader.option("maxFilesPerTrigger", files)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:

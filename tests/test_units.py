@@ -200,6 +200,20 @@ def test_streams_agree_with_batches(spark, sf_dir):
         assert {(r.key, r.id): r.output for r in jobs.drained(jobs.stateful(live, rule), name).collect()} == batch
 
 
+def test_streams_do_not_depend_on_files(spark, sf_dir):
+    """Events in 20 files without order give what one file gives."""
+    from kbspark.plans import streams
+    from kbspark.session import new_dir
+
+    folder = new_dir(spark, "cut")
+    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(20, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
+    assert len(spark.read.parquet(f"{folder}/events.parquet").inputFiles()) > 8
+    runs = {"s_traffic": streams.s_traffic, "s_call_rate": streams.s_call_rate} | {name: streams._stateful(name) for name in streams.KEYS}
+    for name, run in runs.items():
+        one, many = (sorted(map(str, run(spark, d).collect())) for d in (sf_dir, folder))
+        assert one and one == many, name
+
+
 def test_bundle_classify_is_the_sequential_fold(spark):
     rng = random.Random(3)
     docs = [(i, f"t{rng.randrange(12)}", f"h{rng.randrange(12)}") for i in range(40)]
