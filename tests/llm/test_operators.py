@@ -404,6 +404,20 @@ def test_op9_untried_pairs_lack_no_near_one(spark):
     assert len(want) > 50
 
 
+def test_op9_missing_and_shared_ids_keep_unrelated_texts(spark):
+    x = " ".join(f"x{i}" for i in range(100))
+    near = x.replace("x50 ", "y ")
+    other, third = (" ".join(f"{c}{i}" for i in range(100)) for c in "pq")
+    # Unrelated texts without id; two texts under 5; near texts without ids; one of them repeated; a near pair with one id.
+    rows = [(None, other), (None, third), (None, x), (None, near), (None, near), (5, "one two three"), (5, "four five six"), (5, "four five six"), (7, other + " z"), (None, None), (None, "")]
+    df = docs_of(spark, rows)
+    kept = sorted((str(r.doc_id), r.text or "") for r in dartminhash.deduplicated(df).collect())
+    least = min((x, near), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert kept == sorted([("7", other + " z"), ("None", third), ("None", least), ("5", "one two three"), ("5", "four five six"), ("None", ""), ("None", "")])
+    labels = {r.node: r.label for r in dartminhash.classes(df).where("node is not null").collect()}
+    assert len(set(labels.values())) == 5
+
+
 def test_op9_signature_estimates_weighted_similarity():
     rng = np.random.default_rng(1)
     a = {int(x): float(w) for x, w in zip(rng.integers(1, 2**50, 200), 1 + 3 * rng.random(200), strict=True)}
