@@ -181,13 +181,21 @@ def predicted(column: pa.Array, model: Model | None) -> tuple[pa.Array, pa.Array
 
 
 def accepted(docs: DataFrame, model: Model | None, text: str = "text", min_score: float = 0.0) -> DataFrame:
-    """The documents whose language is known, with a score of at least ``min_score``, with all their columns."""
+    """The documents whose language is known, with a score of at least ``min_score``, with all their columns.
+
+    Without a model, all texts that have a letter.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(text)
-            names, scores = predicted(column.cast(pa.string()), shared.value)
+            column = batch.column(text).cast(pa.string())
+            if shared.value is None:
+                raw, at = textscan.string_buffers(column)
+                keep = [has_letter(raw[at[a] : at[b]], at[a : b + 1]) for a, b in slices(at)]
+                yield batch.filter(pa.array(np.concatenate([np.zeros(0, bool), *keep])))
+                continue
+            names, scores = predicted(column, shared.value)
             keep = (names.to_numpy(zero_copy_only=False) != UNKNOWN) & (scores.to_numpy() >= min_score)
             yield batch.filter(pa.array(keep))
 

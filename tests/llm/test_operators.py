@@ -320,6 +320,12 @@ def test_op8_spellings_lines_and_whole_texts(spark):
     assert license_digest.scan(df.limit(0), license_digest.known_licenses(spark)).count() == 0
 
 
+def test_op5_without_labels_texts_with_letters_stay(spark, docs):
+    kept = langid_kernel.accepted(docs, langid_kernel.train(docs.withColumn("lang", F.lit(None).cast("string"))))
+    want = [r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted(want) and want
+
+
 def brute_classes(rows):
     sets, parent = {}, {}
     for i, t in rows:
