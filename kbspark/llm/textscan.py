@@ -2,7 +2,7 @@
 
 The kernels work on the UTF-8 buffer of a whole Arrow batch, a bounded slice of
 documents at a time, so that a task's memory does not depend on the number of
-rows in a batch.  Words are 64-bit numbers: a polynomial hash of their bytes,
+rows in a batch.  Words are 64-bit numbers: a multilinear hash of their bytes,
 mixed with the length, computed with prefix sums.
 """
 
@@ -16,21 +16,16 @@ SLICE_BYTES = 1 << 21
 #: Bytes over which one prefix sum runs.
 _SEGMENT = 1 << 17
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+_factors: list[np.ndarray] = []
 
-_powers: list[np.ndarray] = []
 
-
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _SEGMENT * 2)
-        with np.errstate(over="ignore"):
-            up = np.full(size, _BASE, np.uint64)
-            down = np.full(size, _INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            _powers[:] = [np.cumprod(up), np.cumprod(down)]
-    return _powers[0], _powers[1]
+def _multipliers(first: int, n: int) -> np.ndarray:
+    """Random odd numbers for the positions ``first`` to ``first + n - 1`` of a word."""
+    if first == 0 and n <= _SEGMENT:
+        if not _factors:
+            _factors.append(seeded(np.arange(_SEGMENT, dtype=np.uint64), 11) | np.uint64(1))
+        return _factors[0][:n]
+    return seeded(np.arange(first, first + n, dtype=np.uint64), 11) | np.uint64(1)
 
 
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
@@ -87,19 +82,29 @@ def slices(at: np.ndarray, size: int = SLICE_BYTES):
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of ``data[starts[i]:ends[i]]``; starts ascend and spans do not overlap."""
+    """64-bit hashes of ``data[starts[i]:ends[i]]``; starts ascend and spans do not overlap.
+
+    Every position of a span has a random multiplier of its own (multilinear
+    hashing), so no regular pattern of bytes makes two spans equal.
+    """
     out = np.empty(len(starts), np.uint64)
     i, n = 0, len(starts)
     with np.errstate(over="ignore"):
         while i < n:
             j = max(int(np.searchsorted(ends, starts[i] + _SEGMENT, "right")), i + 1)
             low, high = int(starts[i]), int(ends[j - 1])
-            up, down = _tables(high - low + 1)
-            sums = np.empty(high - low + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(up[: high - low] * (data[low:high].astype(np.uint64) + np.uint64(1)), out=sums[1:])
-            s, e = starts[i:j] - low, ends[i:j] - low
-            out[i:j] = (sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+            if high - low > _SEGMENT:
+                total = np.uint64(0)
+                for a in range(low, high, _SEGMENT):
+                    part = data[a : min(a + _SEGMENT, high)]
+                    total = total + (_multipliers(a - low, len(part)) * (part.astype(np.uint64) + np.uint64(1))).sum(dtype=np.uint64)
+                out[i] = total + np.uint64(high - low) * np.uint64(0xD6E8FEB86659FD93)
+            else:
+                s, e = starts[i:j] - low, ends[i:j] - low
+                place = np.arange(high - low) - np.repeat(s, np.diff(np.append(s, high - low)))
+                sums = np.zeros(high - low + 1, np.uint64)
+                np.cumsum(_multipliers(0, _SEGMENT)[place] * (data[low:high].astype(np.uint64) + np.uint64(1)), out=sums[1:])
+                out[i:j] = sums[e] - sums[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
             i = j
     return mix(out)
 
