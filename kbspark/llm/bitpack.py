@@ -173,8 +173,15 @@ class Reader:
 _WHITE = textscan.byte_class((0x09, 0x0D), (0x20, 0x20))
 #: Bytes that may be, or may begin, white space other than the common kinds.
 _UNSURE = textscan.byte_class((0x1C, 0x1F), (0xC2, 0xC2), (0xE1, 0xE3))
-_SLOTS = 1 << 21
-_POOL = 16 << 20
+_SLOTS = 1 << 20
+_POOL = 4 << 20
+#: Bytes of text that a slice holds, and that one call gives to the tokenizers library.
+_SLICE, _CALL = 1 << 18, 1 << 17
+#: Longer pieces are known by all their bytes, the others by two 8-byte words and their length.
+_SHORT = 16
+_LONG_HELD = 1 << 16
+#: Cut points that a vocabulary's pre-tokeniser must share for its texts to be cut.
+_PROBES = ["a b", "a  b c", "x1 y2, z.", "it's a (test) of\nlines\nand  more \n", "\n\na \t b\r\n c", "don't 12345 67! ?? -- é à\u00a0b \u3000c\nd", " lead trail ", "Straße\nÜber 日本 語\nx", "a" * 40 + " " + "b" * 40 + "\n" + "c" * 40]
 
 
 class Encoder:
@@ -183,7 +190,9 @@ class Encoder:
     The pre-tokeniser of such a vocabulary always breaks before a space that a
     visible character follows, and around a line feed between visible characters.
     Texts are cut there, and each different piece is given to the library once
-    for as long as it stays in a table of fixed size.
+    for as long as it stays in a table of fixed size.  A piece counts as known only
+    if all its bytes are the same.  With a vocabulary that does not break there
+    whole texts are encoded.
     """
 
     def __init__(self, path: str):
@@ -195,16 +204,28 @@ class Encoder:
         self.vocabulary = self.tokenizer.get_vocab_size()
         feed = self._encode(["\n", "a\nb", "a\n b"])
         self.feed = int(feed[0][0]) if len(feed[0]) == 1 and all(list(x).count(feed[0][0]) == 1 and len(x) == 3 for x in feed[1:]) else None
-        self._clear()
+        self.release()
+        self.cut = all(self._encode([t])[0] == [i for x in self._encode(self._pieces(t)) for i in x] for t in _PROBES)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _pieces(self, text: str) -> list[str]:
+        raw = text.encode()
+        at = [*self.cuts(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).tolist(), len(raw)]
+        return [raw[a:b].decode() for a, b in zip(at, at[1:], strict=False)]
+
+    def release(self) -> None:
+        """Give the tables' memory back."""
+        self.slots = None
+        self.long: dict[bytes, tuple[int, int]] = {}
+        self.pool, self.used = np.zeros(0, np.uint32), 0
+
     def _clear(self) -> None:
-        self.keys = np.zeros(_SLOTS, np.uint64)
-        self.starts = np.zeros(_SLOTS, np.int32)
-        self.sizes = np.zeros(_SLOTS, np.int32)
-        self.pool, self.used = np.zeros(1 << 20, np.uint16 if self.vocabulary <= 1 << 16 else np.uint32), 0
+        self.release()
+        #: Of each slot: a piece's first and last bytes, its length, and the place and number of its ids.
+        self.slots = [np.zeros(_SLOTS, kind) for kind in (np.uint64, np.uint64, np.int32, np.int32, np.int32)]
+        self.pool = np.zeros(1 << 18, np.uint16 if self.vocabulary <= 1 << 16 else np.uint32)
 
     @staticmethod
     def cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -226,66 +247,115 @@ class Encoder:
         cut |= begins[:-1]
         return np.flatnonzero(cut)
 
+    def _keep(self, ids: np.ndarray) -> int:
+        """Put ids into the pool; where they are."""
+        at, end = self.used, self.used + len(ids)
+        if end > len(self.pool):
+            self.pool = np.concatenate([self.pool[:at], np.zeros(max(end, 2 * len(self.pool)) - at, self.pool.dtype)])
+        self.pool[at:end] = ids
+        self.used = end
+        return at
+
     def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Encode pieces that are all different; where their ids are in the pool, and how many."""
-        sums = np.concatenate([[0], np.cumsum(_WHITE[data] | _UNSURE[data])])
-        odd = sums[ends] - sums[starts] - (data[starts] == 0x20)
-        plain = (odd == 0) & (ends - starts > (data[starts] == 0x20)) & (self.feed is not None)
+        """Encode pieces, a bounded part of them at a time; where their ids are in the pool, and how many."""
+        begun, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        at = np.concatenate([[0], np.cumsum(ends - starts)])
+        for a, b in textscan.slices(at, _CALL):
+            begun[a:b], n[a:b] = self._learn_part(data, starts[a:b], ends[a:b])
+        return begun, n
+
+    def _learn_part(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begun, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        new: list[np.ndarray] = []
-        at = self.used
+        size = ends - starts
+        whole = np.cumsum(size) - size
+        flat = data[np.arange(int(size.sum())) + np.repeat(starts - whole, size)]
+        odd = np.add.reduceat((_WHITE[flat] | _UNSURE[flat]).astype(np.int64), whole) - (data[starts] == 0x20)
+        plain = (odd == 0) & (size > (data[starts] == 0x20)) & (self.feed is not None)
         if plain.any():
-            s, size = starts[plain], (ends - starts)[plain]
-            to = np.cumsum(size + 1) - size - 1
-            joined = np.full(int((size + 1).sum()), 0x0A, np.uint8)
-            inner = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            joined[np.repeat(to, size) + inner] = data[np.repeat(s, size) + inner]
+            # Pieces of one line each, so that one call encodes them and line feeds tell them apart.
+            s, k = starts[plain], size[plain]
+            to = np.cumsum(k + 1) - k - 1
+            joined = np.full(int((k + 1).sum()), 0x0A, np.uint8)
+            inner = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+            joined[np.repeat(to, k) + inner] = data[np.repeat(s, k) + inner]
             ids = np.array(self._encode([joined.tobytes().decode()])[0], np.uint32)
             stops = np.flatnonzero(ids == self.feed)
-            if len(stops) != len(s):
-                raise RuntimeError("the tokenizer merged pieces across a line feed")
-            firsts = np.concatenate([[0], stops[:-1] + 1])
-            begun[plain], n[plain] = at + firsts, stops - firsts
-            new.append(ids)
-            at += len(ids)
+            if len(stops) == len(s):
+                firsts = np.concatenate([[0], stops[:-1] + 1])
+                begun[plain], n[plain] = self._keep(ids) + firsts, stops - firsts
+            else:
+                plain[:] = False
         rest = np.flatnonzero(~plain)
         if len(rest):
-            raw = data.tobytes()
-            for i, ids in zip(rest.tolist(), self._encode([raw[starts[i] : ends[i]].decode() for i in rest]), strict=True):
-                begun[i], n[i] = at, len(ids)
-                new.append(np.array(ids, np.uint32))
-                at += len(ids)
-        if at > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(at, 2 * len(self.pool)) - self.used, self.pool.dtype)])
-        self.pool[self.used : at] = np.concatenate(new)
-        self.used = at
+            for i, ids in zip(rest.tolist(), self._encode([data[starts[i] : ends[i]].tobytes().decode() for i in rest]), strict=True):
+                begun[i], n[i] = self._keep(np.array(ids, np.uint32)), len(ids)
         return begun, n
 
+    def _short(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of pieces of at most ``_SHORT`` bytes."""
+        size = ends - starts
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+        head = eight[starts] & _HEADS[np.minimum(size, 8)]
+        tail = np.where(size > 8, eight[np.maximum(ends - 8, 0)], np.uint64(0))
+        with np.errstate(over="ignore"):
+            mark = textscan.mix(head * np.uint64(0x9FB21C651E98DF25) + tail * np.uint64(0xD6E8FEB86659FD93) + size.astype(np.uint64))
+        slot = (mark & np.uint64(_SLOTS - 1)).astype(np.int64)
+        heads, tails, sizes, places, numbers = self.slots
+        known = (heads[slot] == head) & (tails[slot] == tail) & (sizes[slot] == size)
+        begun, n = places[slot].astype(np.int64), numbers[slot].astype(np.int64)
+        missing = np.flatnonzero(~known)
+        if len(missing):
+            _, first, back = np.unique(mark[missing], return_index=True, return_inverse=True)
+            own = missing[first]
+            # Pieces that share a mark by chance and are not the same.
+            other = (head[missing] != head[own][back]) | (tail[missing] != tail[own][back]) | (size[missing] != size[own][back])
+            order = np.argsort(own)
+            b, c = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
+            b[order], c[order] = self._learn(data, starts[own[order]], ends[own[order]])
+            begun[missing], n[missing] = b[back], c[back]
+            if other.any():
+                strange = missing[other]
+                begun[strange], n[strange] = self._learn(data, starts[strange], ends[strange])
+            # Of new pieces of one slot the last stays, whole.
+            last = len(own) - 1 - np.unique(slot[own][::-1], return_index=True)[1]
+            at = slot[own[last]]
+            heads[at], tails[at], sizes[at], places[at], numbers[at] = head[own[last]], tail[own[last]], size[own[last]], b[last], c[last]
+        return begun, n
+
+    def _long(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of longer pieces."""
+        names = [data[a:b].tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        new: dict[bytes, int] = {}
+        for i, name in enumerate(names):
+            if name not in self.long and name not in new:
+                new[name] = i
+        if new:
+            at = np.fromiter(new.values(), np.int64, len(new))
+            self.long.update(zip(new, zip(*(x.tolist() for x in self._learn(data, starts[at], ends[at])), strict=True), strict=True))
+        found = np.array([self.long[name] for name in names], np.int64).reshape(-1, 2)
+        if sum(map(len, new)) > _CALL or len(self.long) > _LONG_HELD:
+            self.long = {}
+        return found[:, 0], found[:, 1]
+
     def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents one after another, number of ids of each)."""
         at = at - at[0]
         n_docs = len(at) - 1
         if not len(data):
             return np.zeros(0, np.uint32), np.zeros(n_docs, np.int64)
-        if self.used > _POOL:
+        if not self.cut:
+            found = self._encode([data[a:b].tobytes().decode() for a, b in zip(at, at[1:], strict=False)])
+            return np.concatenate([np.array(x, np.uint32) for x in found]), np.array([len(x) for x in found], np.int64)
+        if self.slots is None or self.used > _POOL:
             self._clear()
         starts = self.cuts(data, at)
         ends = np.append(starts[1:], len(data))
-        keys = textscan.hash_spans(data, starts, ends)
-        slot = (keys & np.uint64(_SLOTS - 1)).astype(np.int64)
-        missing = np.flatnonzero(self.keys[slot] != keys)
-        begun, n = self.starts[slot], self.sizes[slot]
-        if len(missing):
-            fresh, first, back = np.unique(keys[missing], return_index=True, return_inverse=True)
-            own = missing[first]
-            order = np.argsort(own)
-            b, c = np.empty(len(own), np.int64), np.empty(len(own), np.int64)
-            b[order], c[order] = self._learn(data, starts[own[order]], ends[own[order]])
-            begun[missing], n[missing] = b[back], c[back]
-            self.keys[slot[own]], self.starts[slot[own]], self.sizes[slot[own]] = fresh, b, c
-            # Two new pieces may share a slot: the last written must be whole.
-            self.starts[slot[own]], self.sizes[slot[own]] = np.where(self.keys[slot[own]] == fresh, b, self.starts[slot[own]]), np.where(self.keys[slot[own]] == fresh, c, self.sizes[slot[own]])
-        n = n.astype(np.int64)
+        begun, n = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        short = ends - starts <= _SHORT
+        for part, find in ((np.flatnonzero(short), self._short), (np.flatnonzero(~short), self._long)):
+            if len(part):
+                begun[part], n[part] = find(data, starts[part], ends[part])
         total = np.concatenate([[0], np.cumsum(n)])
         ids = self.pool[np.repeat(begun - total[:-1], n) + np.arange(total[-1])].astype(np.uint32)
         bounds = total[np.searchsorted(starts, at)]
@@ -293,11 +363,14 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
+#: Masks of the first bytes of a piece of 0 to 8 bytes.
+_HEADS = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """This worker's encoder of a vocabulary file."""
+    """This worker's encoder of a vocabulary file; its tables are given back when a task ends."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -330,12 +403,13 @@ def write_token_ids(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", tex
             valid = keys.is_valid().to_numpy(zero_copy_only=False)
             keys = keys.fill_null(0).to_numpy()
             raw, at = textscan.string_buffers(batch.column("text"))
-            for a, b in textscan.slices(at):
+            for a, b in textscan.slices(at, _SLICE):
                 if out is None:
                     path = f"{root}/shard-{shard:06d}-{uuid.uuid4().hex}.ids"
                     out = Writer(path, width_of(max(code.vocabulary, end_id + 1)))
                 out.add(keys[a:b], valid[a:b], *append_end(*code.encode(raw[at[a] : at[b]], at[a : b + 1]), end_id))
         if out is not None:
+            code.release()
             n_docs, n_ids, n_bytes = out.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "n_docs": [n_docs], "n_ids": [n_ids], "n_bytes": [n_bytes], "crc32": [out.crc]})
 
