@@ -65,37 +65,98 @@ def test_word_hashes_tell_words_apart():
                 assert seen.setdefault(w, h) == h and back.setdefault(h, w) == w
 
 
+def op1_rows(found):
+    return sorted(((r.doc_id is None, r.doc_id or 0, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in found.collect()), key=lambda r: r[:3])
+
+
 def test_op1_counts_and_scores(docs, none):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     fold = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 for i, _ in rows}
     count = collections.Counter(w for i, t in rows if fold[i] != 1 for w in [*low(t, SPACED), None])
     total, distinct = sum(count.values()), len(count)
-    model, counts = lm_maxent.train(docs.where(q.fold_of() != 1))
-    a, b = (lm_maxent.score(docs, model, counts, table_tokens=n).collect() for n in (10**9, 0))
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
-    a, b = sorted(a, key=key), sorted(b, key=key)
     want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, len(low(r[1], SPACED))))
-    for (_, t), x, y in zip(want, a, b, strict=True):
-        words = [*low(t, SPACED), None]
-        base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)
-        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(words), sum(count[w] > 0 for w in words), total) == (y.n_tokens, y.n_known, y.train_tokens)
-        assert abs(x.base_score - base) < 1e-6 and abs(y.base_score - base) < 1e-6 and abs(x.score - y.score) < 1e-6
+    for most in (10**9, 7, 0):
+        model, counts = lm_maxent.train(docs.where(q.fold_of() != 1), table_tokens=most)
+        assert model.line.n_table <= most and (model.line.rare > 0) == (most < distinct)
+        for (_, t), x in zip(want, op1_rows(lm_maxent.score(docs, model, counts)), strict=True):
+            words = [*low(t, SPACED), None]
+            base = sum(math.log10((count[w] + 0.5) / (total + 0.5 * (distinct + 1))) for w in words)
+            assert x[2:5] == (len(words), sum(count[w] > 0 for w in words), total) and abs(x[5] - base) < 1e-6 and x[6] < 0
     empty, counts = lm_maxent.train(none)
-    assert lm_maxent.score(none, empty, counts).count() == 0 and lm_maxent.score(docs, empty, counts).count() == len(rows)
+    assert lm_maxent.score(none, empty, counts).count() == 0
+    assert all(r[5] == 0 == round(r[6], 6) and r[3] == r[4] == 0 for r in op1_rows(lm_maxent.score(docs, empty, counts)))
+
+
+def test_op1_does_not_depend_on_partitions(docs):
+    """The same bits for any layout of the training table, with several learners."""
+    want = None
+    for n in (1, 4, 16):
+        model, counts = lm_maxent.train(docs.repartition(n, F.rand(n)), learner_tokens=600)
+        got = op1_rows(lm_maxent.score(docs.repartition(n), model, counts))
+        want = want or got
+        assert got == want and np.abs(model.weights.rows).sum() > 0
 
 
-def test_op1_is_a_distribution(docs):
-    """All class tokens and the rest together have probability one after any history."""
-    model, _ = lm_maxent.train(docs)
-    v, w = model.vocabulary, model.weights
-    history = v.keys[np.argsort(v.ids)][:2]
-    tokens = [*v.keys.tolist(), 12345]
+def brute_paths(model, found, counts):
+    """log10 probability of every token's path, step by step: a softmax over all classes inside a class."""
+    c, w = model.classes, model.weights
+    leaf = model.known(found)[1]
+    h = lm_maxent.features(lm_maxent.histories(c.names(leaf), counts))
+    out = []
+    for i, own in enumerate(leaf.tolist()):
+        p = 1.0
+        for level in range(model.line.levels):
+            width = lm_maxent.BRANCH ** (model.line.levels - level)
+            inside = c.mass[own // width * width : (own // width + 1) * width].reshape(lm_maxent.BRANCH, -1).sum(axis=1)
+            if level >= c.depth[own]:
+                break
+            node = own // width + sum(lm_maxent.BRANCH**j for j in range(level))
+            z = [math.log(x / inside.sum()) if x else -80.0 for x in inside]
+            for j in range(4 if level < lm_maxent.WIDE else 2):
+                row = ((int(h[j, i]) ^ ((node + 1) * 0x9E3779B97F4A7C15) % 2**64) * 0xD6E8FEB86659FD93) % 2**64 >> (64 - w.bits)
+                z = [x + float(y) for x, y in zip(z, w.rows[row], strict=True)]
+            e = [math.exp(x) for x in z]
+            p *= e[own // (width // lm_maxent.BRANCH) % lm_maxent.BRANCH] / sum(e)
+        out.append(math.log10(p))
+    return out
+
+
+def test_op1_scores_are_softmaxes(docs):
+    import pyarrow as pa
+
+    model, counts = lm_maxent.train(docs, learner_tokens=600)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = []
+    for i, t in rows:
+        (_, _, found, n), = lm_maxent.tokens(pa.array([t], pa.string()))
+        count, leaf = model.known(found)
+        assert (count > 0).all()
+        paths = np.array(brute_paths(model, found, n))
+        assert np.abs(model.log_paths(leaf, n) - paths).max() < 1e-4
+        want.append((i is None, i or 0, len(found), float((paths + np.log10((count + 0.5) / model.classes.mass[leaf])).sum())))
+    got = op1_rows(lm_maxent.score(docs, model, counts))
+    for x, y in zip(sorted(want), got, strict=True):
+        assert x[:3] == y[:3] and abs(x[3] - y[6]) < 1e-3 * max(1, x[2])
+
+
+@pytest.mark.parametrize("most", [10**9, 7])
+def test_op1_is_a_distribution(docs, most):
+    """All tokens of the whole vocabulary, and unseen ones, together have probability one after any history."""
+    model, counts = lm_maxent.train(docs, table_tokens=most)
+    c = model.classes
+    have = counts.toPandas()
+    found, n = have["token"].to_numpy().view(np.uint64), have["n"].to_numpy()
+    history = found[np.argsort(-n)][:2]
+    leaf = np.array([model.known(np.array([t]))[1][0] for t in found])
+    # An unseen token for every class that one may have.
+    free = np.arange(model.line.first_rare, model.line.n_leaves)
     total = 0.0
-    for t in tokens:
-        found = np.array([*history, t], np.uint64)
-        s, rare = model.context_scores(found, np.array([3]))
-        total += 10 ** (s[-1] + (v.log_rare if rare[-1] else 0.0))
-    assert abs(total - 1) < 1e-4 and w.classes == v.classes
+    for own, k in [*zip(leaf.tolist(), n.tolist(), strict=True), *((x, 0) for x in free.tolist())]:
+        path = c.names(np.array([*model.known(history)[1], own], np.int32))
+        assert path.shape == (2, 3)
+        s = model.log_paths(np.array([*model.known(history)[1], own], np.int32), np.array([3]))[-1]
+        total += 10 ** (s - c.log_mass[own] + math.log10(k + 0.5))
+    assert abs(total - 1) < 1e-3
 
 
 def test_op1_beats_the_base_on_held_out_text(spark):
@@ -372,8 +433,11 @@ def test_op9_classes_are_those_of_all_pairs(spark, docs, none):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert dartminhash.classes(none).count() == 0 and dartminhash.deduplicated(none).count() == 0
     # Repeated rows and missing ids: one row of each class stays, texts without content all stay.
-    left = dartminhash.deduplicated(docs)
-    assert left.where("text is not null and text <> ''").count() == docs.where("text is not null and text <> ''").select("text").distinct().count() or left.count() < docs.count()
+    left = collections.Counter((r.doc_id, r.text) for r in dartminhash.deduplicated(docs).collect())
+    have = sorted({(r.doc_id is None, r.doc_id or 0, r.text) for r in docs.where("text <> ''").collect()})
+    of = brute_classes(list(enumerate(t for *_, t in have)))
+    stay = collections.Counter((None if have[i][0] else have[i][1], have[i][2]) for i in set(of.values()))
+    assert left == stay + collections.Counter((r.doc_id, r.text) for r in docs.where("text is null or text = ''").collect())
 
 
 def test_op9_variants_of_a_hub_are_one_class(spark):
@@ -499,3 +563,73 @@ def test_pipeline_stage_by_stage(spark, sf_dir, none):
     empty = none.select(columns)
     for _, stage in p.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def thue_morse(n):
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_regular_words_do_not_collide():
+    import pyarrow as pa
+
+    word = thue_morse(12)
+    other = word.translate(str.maketrans("ab", "ba"))
+    long = "q" * (textscan._SEGMENT * 2 + 5)
+    column = pa.array([f"{word} {long}", other, "x", long[:-1] + "r", long])
+    hashes = np.concatenate([h for _, _, h, _ in textscan.word_hashes(column, textscan.ALNUM)])
+    assert len(set(hashes.tolist())) == 5 and hashes[1] == hashes[5]
+
+
+def test_op2_encodes_regular_and_long_pieces_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    path = q.tokenizer_path()
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True
+    rng = np.random.default_rng(3)
+    word = thue_morse(10)
+    rows = [word, word.translate(str.maketrans("ab", "ba")), "", f"x {word} {word}y\n{word}", "a" * 17 + " " + "a" * 16 + " " + "a" * 15 + "b", " ".join("".join(rng.choice(list("abcé日 \n\t.0<|>"), rng.integers(1, 30))) for _ in range(3000))]
+    data = [t.encode() for t in rows]
+    at = np.cumsum([0, *map(len, data)])
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in rows]
+    code = bitpack.Encoder(path)
+    for whole in (True, False, False):
+        code.cut = not whole
+        ids, n = code.encode(np.frombuffer(b"".join(data), np.uint8), at)
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+    code.release()
+
+
+@pytest.fixture(scope="module")
+def very_long(spark):
+    """Texts of over 4 MB: words, and one word without a break."""
+    rng = np.random.default_rng(12)
+    words = " ".join(f"w{x}" for x in rng.integers(0, 3000, 800_000))
+    return [words, "z" * 2_500_000, "short one", words + " end"]
+
+
+def test_very_long_texts(spark, very_long):
+    assert len(very_long[0]) > 2 * textscan.SLICE_BYTES
+    df = docs_of(spark, list(enumerate(very_long)))
+    counts = [len(t.split()) for t in very_long]
+    model, table = lm_maxent.train(df)
+    assert [r.n_tokens for r in lm_maxent.score(df, model, table).orderBy("doc_id").collect()] == [n + 1 for n in counts]
+    bench = spark.createDataFrame([(1, " ".join(very_long[0].split()[-20:]))], "item_id long, text string")
+    assert [(r.n_words, r.n_hit) for r in winnow.contamination(df, bench).orderBy("doc_id").collect()] == [(counts[0], 20), (1, 0), (2, 0), (counts[3], 20)]
+    assert [r.class_id for r in dartminhash.classes(df).orderBy("doc_id").collect()] == [0, 1, 2, 0]
+    digests = bitpack.token_digests(bitpack.write_token_ids(df, q.tokenizer_path())).orderBy("doc_id").collect()
+    assert [r.doc_id for r in digests] == [0, 1, 2, 3] and digests[3].start == sum(r.n_tokens for r in digests[:3])
+    found = license_digest.scan(df, license_digest.known_licenses(spark)).orderBy("doc_id").collect()
+    assert [r.doc_id for r in found] == [0, 1, 2, 3] and len({r.digest for r in found}) == 4
+
+
+def test_op9_signatures_do_not_depend_on_the_cells_at_a_time(monkeypatch):
+    rng = np.random.default_rng(7)
+    row = np.sort(rng.integers(0, 40, 3000))
+    element, weight = rng.integers(0, 2**50, 3000).astype(np.uint64), 1 + 2 * rng.random(3000)
+    want = dartminhash.signatures(row, element, weight, 41, 100)
+    monkeypatch.setattr(dartminhash, "CELLS", 1000)
+    assert (dartminhash.signatures(row, element, weight, 41, 100) == want).all()
