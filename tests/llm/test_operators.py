@@ -456,22 +456,21 @@ def test_op9_variants_of_a_hub_are_one_class(spark):
     assert {r.class_id for r in dartminhash.classes(docs_of(spark, rows)).collect()} == {0}
 
 
-def test_op9_untried_pairs_lack_no_near_one(spark):
-    rng = np.random.default_rng(6)
+@pytest.mark.parametrize("least, most", [(1, 4), (2, 5)])
+def test_op9_dense_groups(spark, least, most):
+    """Groups of a hundred variants, of which many are near to few others: the classes of all pairs."""
+    rng = np.random.default_rng(10 * least + most)
     rows = []
-    for g in range(8):
-        words = [f"w{x}" for x in rng.integers(0, 60 if g % 2 else 3000, 120)]
-        for _ in range(12):
-            copy = list(words)
-            for at in rng.integers(0, 120, rng.integers(0, 5)):
-                copy[at] = f"v{rng.integers(0, 500)}"
-            rows.append(" ".join(copy[: 120 - rng.integers(0, 15)]))
-    held = [dartminhash._packed(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), 5)[0] for t in rows]
-    df = spark.createDataFrame([(bytes([i]), bytes([i % 5]), bytes(x)) for i, x in enumerate(held)], "node binary, label binary, held binary")
-    got = [(r.a[0], r.b[0]) for r in dartminhash.untried(df, 0.8).collect()]
-    want = {(i, j) for j in range(len(rows)) for i in range(j) if i % 5 != j % 5 and dartminhash.similarity(held[i], held[j]) >= 0.8}
-    assert len(got) == len(set(got)) and want <= set(got) and all(i < j and i % 5 != j % 5 for i, j in got)
-    assert len(want) > 50
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for i in range(100):
+            words = list(base)
+            for at in rng.choice(200, rng.integers(least, most + 1), replace=False):
+                words[at] = f"v{i}x{at}"
+            rows.append((len(rows), " ".join(words)))
+    got = {r.doc_id: r.class_id for r in dartminhash.classes(docs_of(spark, rows)).collect()}
+    want = brute_classes(rows)
+    assert sum(got[i] != want[i] for i in got) <= 0.01 * len(rows), (len(set(got.values())), len(set(want.values())))
 
 
 def test_op9_missing_and_shared_ids_keep_unrelated_texts(spark):
