@@ -7,39 +7,18 @@ Everything that outlives a task goes below the folder that the session names in
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import session
+from ..session import new_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; set to a new temporary one only where it is unset, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            root = held.get()
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-            spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return root
-
-
-def new_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name for one run of one operator; nothing is reused between runs."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+__all__ = ["data_files", "filesystem", "materialise", "new_dir"]
 
 
 def materialise(df: DataFrame, spark: SparkSession, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: this cuts its lineage and survives lost executors."""
-    path = f"{new_dir(spark, name)}/table"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return session.materialise(df, name)
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
