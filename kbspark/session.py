@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             root = held.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
             spark.sparkContext.setCheckpointDir(root)
