@@ -119,7 +119,7 @@ JOIN steps s ON s.source IS NOT DISTINCT FROM d.source, generate_series(1, r.n_c
 
 def op8_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licenses of every whole document and of its whole lines."""
-    found = license_digest.scan(_table(spark, sf_dir, "documents"), license_digest.known_licenses(spark))
+    found = license_digest.scan(_table(spark, sf_dir, "documents"), license_digest.known_licenses(spark), digests=license_digest.whole_texts(spark))
     return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
 
 
@@ -132,13 +132,14 @@ def _op8_sql() -> str:
         return f"trim({out})"
 
     texts = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in license_digest.LICENSES)
+    digests = ", ".join(f"('{i}', '{d}')" for i, d in license_digest.DIGESTS)
     return f"""
 WITH known AS (SELECT DISTINCT sha256({canonical("t")}) AS digest, license_id FROM (VALUES {texts}) AS v(license_id, t)),
 docs AS (SELECT row_number() OVER () AS rn, doc_id, text FROM documents),
 whole AS (SELECT rn, doc_id, {canonical("text")} AS c FROM docs),
 lines AS (SELECT rn, {canonical("line")} AS c FROM (SELECT rn, unnest(string_split(text, chr(10))) AS line FROM docs)),
 notices AS (SELECT rn, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM lines JOIN known ON known.digest = sha256(c) WHERE c <> '' GROUP BY rn),
-least AS (SELECT digest, min(license_id) AS license_id FROM known GROUP BY digest)
+least AS (SELECT digest, min(license_id) AS license_id FROM (SELECT digest, license_id FROM known UNION ALL SELECT d, i FROM (VALUES {digests}) AS w(i, d)) GROUP BY digest)
 SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest, license_id, coalesce(notices, '') AS notices
 FROM whole LEFT JOIN notices USING (rn) LEFT JOIN least ON least.digest = CASE WHEN c <> '' THEN sha256(c) END
 """

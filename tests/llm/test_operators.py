@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import re
 import zlib
 
@@ -381,6 +382,23 @@ def test_op8_spellings_lines_and_whole_texts(spark):
     assert license_digest.scan(df.limit(0), license_digest.known_licenses(spark)).count() == 0
 
 
+def test_op8_knows_long_licenses_whole(spark):
+    folder = "/usr/share/common-licenses"
+    names = [("Apache-2.0", "Apache-2.0"), ("GPL-2", "GPL-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")]
+    held = [(name, open(f"{folder}/{file}", encoding="utf-8").read()) for file, name in names if os.path.exists(f"{folder}/{file}")]
+    if not held:
+        pytest.skip("no license texts on this machine")
+    # Upper case, other blanks and another copyright line are the same license; a word less is not.
+    rows = [(f"{name}/{i}", t) for name, text in held for i, t in enumerate([text, "Copyright 2020 A. Person\n" + text.upper(), text.replace(" ", "  "), text.rstrip().rsplit(None, 1)[0]])]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    for bound in (license_digest.BROADCAST_LICENSES, 0):
+        found = license_digest.scan(df, license_digest.known_licenses(spark), digests=license_digest.whole_texts(spark), broadcast_licenses=bound)
+        assert [(r.doc_id, r.license_id) for r in found.collect() if r.license_id != (None if r.doc_id.endswith("/3") else r.doc_id.split("/")[0])] == []
+    bare = [(name, text.split("\n\n", 1)[1]) for name, text in license_digest.LICENSES if text.startswith(f"{name} License\n\n")]
+    found = license_digest.scan(spark.createDataFrame(bare, "doc_id string, text string"), license_digest.known_licenses(spark), digests=license_digest.whole_texts(spark))
+    assert sorted((r.doc_id, r.license_id) for r in found.collect()) == [("ISC", "ISC"), ("MIT", "MIT")]
+
+
 def test_op5_without_labels_texts_with_letters_stay(spark, docs):
     kept = langid_kernel.accepted(docs, langid_kernel.train(docs.withColumn("lang", F.lit(None).cast("string"))))
     want = [r.text for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
