@@ -7,9 +7,10 @@ two texts that share a window always share the fingerprint chosen in it.
 Documents whose fingerprints join with the benchmark's are extended around each
 shared fingerprint to all windows that hold it, and those windows are compared.
 
-The benchmark is written once, in blocks of bounded size, to the shared folder;
-a task holds one block at a time and meets them all, so documents are never
-shuffled and a benchmark of any size takes bounded memory.
+The benchmark is cut into blocks of bounded size; the index of each is built once and
+written to the shared folder.  A task keeps the blocks that fit ``HELD_BYTES`` and
+reads the others once for each batch of documents, so documents are never shuffled
+and a benchmark of any size takes bounded memory.
 
 Defined results: null and empty texts have no words and no hits; repeated
 documents are judged each by itself; items repeated under one id count once; a
@@ -18,6 +19,9 @@ null item id is listed as an empty string; an empty benchmark hits nothing.
 
 from __future__ import annotations
 
+import os
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +35,9 @@ from . import storage, textscan
 
 WINDOW = 13
 K = 7
-#: Bytes of benchmark text in a block.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text in a block, and of index files that a worker keeps.
+BLOCK_BYTES = 8 << 20
+HELD_BYTES = 192 << 20
 
 
 def fingerprints(grams: np.ndarray, width: int) -> np.ndarray:
@@ -129,48 +134,74 @@ class Index:
         return hit, at, both
 
 
-_held: dict[tuple, Index] = {}
+_held: dict[str, tuple[int, Index]] = {}
 
 
-def _load(path: str, window: int, k: int) -> Index:
-    """The index of one block; a worker keeps the last that it made."""
-    key = (path, window, k)
-    if key not in _held:
-        _held.clear()
+def _load(path: str) -> Index:
+    """One block's index; a worker keeps those that fit, and beside them the last one read."""
+    if path not in _held:
         files, inner = storage.filesystem(path)
-        table = pq.read_table(inner, filesystem=files, partitioning=None)
-        ids = [x or "" for x in table.column("item_id").to_pylist()]
-        _held[key] = Index(ids, table.column("text").combine_chunks(), window, k)
-    return _held[key]
-
-
-def write_blocks(benchmark: DataFrame, spark: SparkSession, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> list[str]:
-    """The benchmark's texts in files of about ``block_bytes`` in the shared folder."""
+        with files.open_input_file(inner) as src:
+            raw = src.read()
+        while _held and sum(n for n, _ in _held.values()) + len(raw) > HELD_BYTES:
+            # The newest goes: blocks are met in one order, so the first ones are met again soonest.
+            _held.popitem()
+        _held[path] = len(raw), pickle.loads(raw)
+    return _held[path][1]
+
+
+def _indexed(path: str, folder: str, window: int, k: int) -> str:
+    """Build one block's index and write it to the shared folder."""
+    files, inner = storage.filesystem(path)
+    table = pq.read_table(inner, filesystem=files, partitioning=None)
+    index = Index([x or "" for x in table.column("item_id").to_pylist()], table.column("text").combine_chunks(), window, k)
+    out = f"{folder}/{uuid.uuid4().hex}.index"
+    files, inner = storage.filesystem(out)
+    files.create_dir(os.path.dirname(inner), recursive=True)
+    with files.open_output_stream(inner) as sink:
+        sink.write(pickle.dumps(index, protocol=5))
+    return out
+
+
+def write_blocks(benchmark: DataFrame, spark: SparkSession, item_id: str = "item_id", text: str = "text", block_bytes: int = BLOCK_BYTES, window: int = WINDOW, k: int = K) -> list[str]:
+    """The benchmark's indices, each of about ``block_bytes`` of text, in files of the shared folder."""
     kept = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(text).cast("string").alias("text")).where(F.length("text") > 0)
     size = kept.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if not size:
         return []
-    path = storage.new_dir(spark, "benchmark") + "/blocks"
-    kept.repartition(int(size // block_bytes) + 1).write.parquet(path)
-    return storage.data_files(spark, path)
+    root = storage.new_dir(spark, "benchmark")
+    kept.repartition(int(size // block_bytes) + 1).write.parquet(f"{root}/blocks")
+    texts = storage.data_files(spark, f"{root}/blocks")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_indexed(x, f"{root}/index", window, k) for x in batch.column("path").to_pylist()], pa.string())], names=["path"])
 
+    # One row for each block.
+    paths = spark.createDataFrame([(x,) for x in texts], "path string").repartition(len(texts))
+    return sorted(r["path"] for r in paths.mapInArrow(run, "path string").collect())
 
-def judge(batch: pa.RecordBatch, text: str, blocks: list[str], window: int = WINDOW, k: int = K):
+
+def judge(batch: pa.RecordBatch, text: str, blocks: list[str]):
     """For each row of a batch: words, hit words, sorted item ids, hit spans as word ranges."""
     n = batch.num_rows
     words, hits = np.zeros(n, np.int64), np.zeros(n, np.int64)
     items: list[list[str]] = [[] for _ in range(n)]
     spans: list[list[dict]] = [[] for _ in range(n)]
-    for a, b, hashes, counts in textscan.word_hashes(batch.column(text), textscan.ALNUM):
-        words[a:b] = counts
-        hit = np.zeros(len(hashes), bool)
-        for path in blocks:
-            index = _load(path, window, k)
-            found, at, pairs = index.hits(hashes, counts)
+    # A batch is bounded by bytes, so its words are held while each block is met once.
+    parts = list(textscan.word_hashes(batch.column(text), textscan.ALNUM))
+    masks = [np.zeros(len(hashes), bool) for _, _, hashes, _ in parts]
+    for path in blocks:
+        index = _load(path)
+        for (a, _, hashes, counts), hit in zip(parts, masks, strict=True):
+            found, _, pairs = index.hits(hashes, counts)
             hit |= found
             for d, i in pairs.T.tolist():
                 items[a + d].append(index.ids[i])
-        if blocks and hit.any():
+    for (a, b, _, counts), hit in zip(parts, masks, strict=True):
+        words[a:b] = counts
+        if hit.any():
+            at = np.concatenate([[0], np.cumsum(counts)])
             sums = np.concatenate([[0], np.cumsum(hit)])
             hits[a:b] = sums[at[1:]] - sums[at[:-1]]
             for d in np.flatnonzero(hits[a:b]):
@@ -195,16 +226,16 @@ def is_contaminated(words: np.ndarray, hits: np.ndarray) -> np.ndarray:
     return (hits > 0) & (20 * hits >= words)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = K, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: its id and ``REPORT``.  Only the id and the text are read."""
-    blocks = write_blocks(benchmark, docs.sparkSession)
+    blocks = write_blocks(benchmark, docs.sparkSession, block_bytes=block_bytes, window=window, k=k)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     schema = T.StructType([rows.schema["doc_id"], *REPORT.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            words, hits, items, spans = judge(batch, "text", blocks, window, k)
+            words, hits, items, spans = judge(batch, "text", blocks)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(words), pa.array(hits), pa.array(items, pa.list_(pa.string())), pa.array(spans, span), pa.array(is_contaminated(words, hits))], names=schema.names
             )
