@@ -1,7 +1,7 @@
 """Language identification with a blended-spectrum string kernel.
 
 A text is the set of its byte n-grams of lengths 1 to 3 (A-Z folded), each present
-or not; one- and two-grams have places of their own, three-grams are hashed.  The
+or not; single bytes have places of their own, two- and three-grams are hashed.  The
 kernel of two texts is the cosine of their presence vectors.  A bounded, stratified
 sample of labelled texts gives the training rows, and a part of it the Nystroem
 landmarks; kernel ridge regression is solved one language against the rest.
@@ -9,10 +9,13 @@ Scoring is two matrix products for each batch: presence by landmarks, and kernel
 values by coefficients.
 
 The only bounded steps are the sample (``per_language`` texts of each language, by
-hash order) and the landmarks.  Scoring reads every whole text.
+hash order, and about ``SAMPLE`` in all) and the landmarks (``ALL_LANDMARKS`` in all);
+of more than ``LANGUAGES`` languages the most frequent are learned.  Scoring reads
+every whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; ties
-go to the lesser language name; without any labelled text everything is ``und``.
+go to the lesser language name; without any labelled text everything is ``und``;
+of several texts under one id and language the least presence row is learned.
 The score is the winning share of a softmax over the languages' outputs.
 """
 
@@ -29,8 +32,10 @@ from pyspark.sql import functions as F
 from . import storage, textscan
 
 UNKNOWN = "und"
-#: Training texts of one language at most, landmarks of one language at most, languages at most.
-PER_LANGUAGE, LANDMARKS, LANGUAGES = 1000, 48, 400
+#: Training texts of one language at most, landmarks of one language at most.
+PER_LANGUAGE, LANDMARKS = 1000, 48
+#: Training texts and landmarks of all languages; languages, of which there are fewer than 8,000 in use.
+SAMPLE, ALL_LANDMARKS, LANGUAGES = 40_000, 1536, 8000
 RIDGE = 1e-3
 #: Outputs are near 0 or 1; this makes their softmax a share.
 SHARPNESS = 8.0
@@ -106,21 +111,33 @@ def fit(bits: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridge:
     """Fit on packed presence rows, in the given order; the first of each language are its landmarks."""
     if not labels:
         return None
-    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1, count=DIM)
+
+    def unpacked(rows: list[bytes]) -> np.ndarray:
+        return normalised(np.unpackbits(np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1), axis=1, count=DIM))
+
     languages = sorted(set(labels))
-    y = np.array([languages.index(label) for label in labels])
-    chosen = np.concatenate([np.flatnonzero(y == i)[:landmarks] for i in range(len(languages))])
-    marks = normalised(x[chosen])
+    number = {name: i for i, name in enumerate(languages)}
+    y = np.array([number[label] for label in labels])
+    each = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
+    order = np.argsort(y, kind="stable")
+    place = np.arange(len(y)) - np.searchsorted(y[order], y[order])
+    chosen = order[place < each]
+    if len(chosen) > ALL_LANDMARKS:
+        # More languages than landmarks: those that come first.
+        chosen = np.sort(chosen)[:ALL_LANDMARKS]
+    marks = unpacked([bits[i] for i in chosen])
     gram = np.zeros((len(chosen),) * 2)
     right = np.zeros((len(chosen), len(languages)))
     weight = len(y) / (len(languages) * np.bincount(y))
-    for a in range(0, len(x), 512):
-        k = (normalised(x[a : a + 512]) @ marks.T).astype(np.float64)
-        w = weight[y[a : a + 512]][:, None]
-        gram += k.T @ (k * w)
-        right += k.T @ (w * np.eye(len(languages))[y[a : a + 512]])
+    for a in range(0, len(y), 512):
+        k = (unpacked(bits[a : a + 512]) @ marks.T).astype(np.float64)
+        w = weight[y[a : a + 512]]
+        gram += k.T @ (k * w[:, None])
+        aim = np.zeros((len(k), len(languages)))
+        aim[np.arange(len(k)), y[a : a + 512]] = w
+        right += k.T @ aim
     own = (marks @ marks.T).astype(np.float64)
-    solved = np.linalg.solve(gram + ridge * len(x) * own + 1e-6 * len(x) * np.eye(len(own)), right)
+    solved = np.linalg.solve(gram + ridge * len(y) * own + 1e-6 * len(y) * np.eye(len(own)), right)
     return Model(languages, np.ascontiguousarray(marks.T), solved.astype(np.float32))
 
 
@@ -131,11 +148,12 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     rows = rows.select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).cast("string").alias("text")).where(F.col("lang").isNotNull() & (F.length("text") > 0))
     # Ids are chosen first, without texts, in hash order.  The languages' counts tell which part of the
     # hashes holds enough of them, so that few rows are sorted however many there are.
-    languages = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    languages = storage.materialise(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES), spark, "languages")
+    per_language = max(1, min(per_language, SAMPLE // max(1, languages.count())))
     ids = rows.select("id", "lang", F.xxhash64(F.lit(7), "id").alias("order")).join(F.broadcast(languages), "lang")
     ids = ids.where((F.col("order") / F.lit(2.0**64) + 0.5) * F.col("count") < 2 * per_language + 100)
     ids = ids.selectExpr("id", "lang", "row_number() over (partition by lang order by order, id) as place").where(F.col("place") <= per_language)
-    # At most LANGUAGES x per_language ids.
+    # At most SAMPLE ids.
     picked = F.broadcast(storage.materialise(ids.select("id", "lang").distinct(), spark, "sample-ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +167,8 @@ def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     sample = storage.materialise(rows.join(picked, ["id", "lang"], "left_semi").mapInArrow(run, "id string, lang string, bits binary"), spark, "sample")
     # A bounded sample of DIM / 8 bytes a text.
-    held = sample.dropDuplicates(["id", "lang"]).orderBy(F.xxhash64(F.lit(8), "id"), "id", "lang").toPandas()
-    return fit(held["bits"].tolist(), held["lang"].tolist(), landmarks)
+    held = sample.groupBy("id", "lang").agg(F.min("bits").alias("bits")).orderBy(F.xxhash64(F.lit(8), "id"), "id", "lang").toArrow()
+    return fit(held.column("bits").to_pylist(), held.column("lang").to_pylist(), landmarks)
 
 
 def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
