@@ -2,8 +2,8 @@
 
 A rule is a host and a path prefix; its key is the 64-bit xxhash of both.  Rules
 are range-sorted by key and written as one file per range: the sorted keys, then
-offsets, verdicts and the full rule strings.  A task maps the key array into memory
-and probes it, for a whole batch at once, with every host suffix and every path
+offsets, verdicts and the full rule strings.  A task maps the file into memory (from a
+store that cannot be mapped it reads it) and probes the key array, for a whole batch at once, with every host suffix and every path
 prefix of a length that some rule has; a key that is found counts only if the
 stored strings are equal.
 
@@ -15,7 +15,6 @@ longest string wins, then the longer host; of repeated equal rules "allow" wins.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -32,7 +31,9 @@ ALLOW, BLOCK = "allow", "block"
 DEFAULT = ALLOW
 MAGIC = b"KBURL\x00\x00\x01"
 #: Rules of one file.
-SHARD_RULES = 4 << 20
+SHARD_RULES = 1 << 20
+#: Bytes of files that a worker keeps where they cannot be mapped.
+HELD_BYTES = 128 << 20
 FILES = "shard int, path string, first decimal(20,0), n_rules long, lengths array<int>"
 
 
@@ -71,21 +72,30 @@ def write_rules(rules: DataFrame, shard_rules: int = SHARD_RULES) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.decimal128(20, 0)), *batch.columns], names=["key", "host", "path", "verdict"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for batch in batches for r in batch.to_pylist()]
-        if not rows:
+        # Of a whole file only numbers and encoded texts are held, never rows as objects.
+        keys, sizes, verdicts, texts, lengths, first = [], [], [], [], set(), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            first = batch.column("key")[0].as_py() if first is None else first
+            paths = batch.column("path").to_pylist()
+            encoded = [f"{h}\n{p}".encode() for h, p in zip(batch.column("host").to_pylist(), paths, strict=True)]
+            keys.append(np.array([int(x) for x in batch.column("key").to_pylist()], "<u8"))
+            sizes.append(np.array([len(x) for x in encoded], "<i8"))
+            verdicts.append(np.array([v == BLOCK for v in batch.column("verdict").to_pylist()], np.uint8))
+            texts.append(b"".join(encoded))
+            lengths.update(map(len, paths))
+        if first is None:
             return
-        keys = np.array([int(r["key"]) for r in rows], "<u8")
-        hosts, paths = [r["host"].encode() for r in rows], [r["path"].encode() for r in rows]
-        texts = [h + b"\n" + p for h, p in zip(hosts, paths, strict=True)]
-        at = np.cumsum([0, *map(len, texts)]).astype("<i8")
-        verdicts = np.array([r["verdict"] == BLOCK for r in rows], np.uint8)
+        n = sum(map(len, keys))
+        at = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8")
         path = f"{root}/rules-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
         files, inner = storage.filesystem(path)
         files.create_dir(os.path.dirname(inner), recursive=True)
         with files.open_output_stream(inner) as out:
-            for part in (MAGIC, np.array([len(rows)], "<i8").tobytes(), keys.tobytes(), at.tobytes(), verdicts.tobytes(), *texts):
+            for part in (MAGIC, np.array([n], "<i8").tobytes(), *(x.tobytes() for x in keys), at.tobytes(), *(x.tobytes() for x in verdicts), *texts):
                 out.write(part)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "first": pa.array([rows[0]["key"]], pa.decimal128(20, 0)), "n_rules": [len(rows)], "lengths": pa.array([sorted({len(r["path"]) for r in rows})], pa.list_(pa.int32()))})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "first": pa.array([first], pa.decimal128(20, 0)), "n_rules": [n], "lengths": pa.array([sorted(lengths)], pa.list_(pa.int32()))})
 
     n = rules.count()
     sorted_rules = rules.mapInArrow(keyed, "key decimal(20,0), host string, path string, verdict string").repartitionByRange(int(n // shard_rules) + 1, "key").sortWithinPartitions("key")
@@ -97,15 +107,12 @@ class Rules:
 
     def __init__(self, uri: str):
         files, inner = storage.filesystem(uri)
-        if not uri.startswith("file:"):
-            # Not mappable in place: this task keeps a copy of the file while it runs.
-            self.copy = tempfile.TemporaryDirectory(prefix="url-rules-")
-            local = os.path.join(self.copy.name, "rules.bin")
-            with files.open_input_stream(inner) as src, open(local, "wb") as dst:
-                while part := src.read(1 << 20):
-                    dst.write(part)
-            inner = local
-        data = np.memmap(inner, np.uint8, "r")
+        if uri.startswith("file:"):
+            data, self.held = np.memmap(inner, np.uint8, "r"), 0
+        else:
+            with files.open_input_file(inner) as src:
+                data = np.frombuffer(src.read(), np.uint8)
+            self.held = len(data)
         if bytes(data[:8]) != MAGIC:
             raise ValueError(f"{uri} holds no rules")
         self.n = n = int(data[8:16].view("<i8")[0])
@@ -132,7 +139,7 @@ _mapped: dict[str, Rules] = {}
 
 def _rules(path: str) -> Rules:
     if path not in _mapped:
-        if len(_mapped) > 64:
+        if len(_mapped) > 64 or sum(r.held for r in _mapped.values()) > HELD_BYTES:
             _mapped.clear()
         _mapped[path] = Rules(path)
     return _mapped[path]
