@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,30 @@ def test_op3_is_exact(spark, docs, none):
     assert winnow.contamination(docs, bench.limit(0)).where("n_hit > 0 or contaminated").count() == 0
 
 
+def test_op3_many_blocks_are_each_indexed_once(spark, docs, monkeypatch, tmp_path):
+    base = texts()
+    items = [(i, " ".join(t.split()[:40])) for i, t in enumerate(base)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    paths = winnow.write_blocks(bench, spark, block_bytes=200)
+    assert len(paths) > 3 and len(set(paths)) == len(paths)
+    # What a worker keeps is bounded: with no room it reads each block once for a batch.
+    reads = []
+    whole = winnow.storage.filesystem
+    monkeypatch.setattr(winnow.storage, "filesystem", lambda uri: reads.append(uri) or whole(uri))
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([t for _, t in rows], pa.string())})
+    for held, again in ((winnow.HELD_BYTES, 0), (0, len(paths))):
+        monkeypatch.setattr(winnow, "HELD_BYTES", held)
+        winnow._held.clear()
+        first = winnow.judge(batch, "text", paths)
+        reads.clear()
+        second = winnow.judge(batch, "text", paths)
+        assert len(reads) <= again and second[2] == first[2] and (second[1] == first[1]).all()
+    monkeypatch.undo()
+    found = winnow.contamination(docs, bench, block_bytes=200).collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_hit, tuple(r["items"]), r.contaminated) for r in found), key=repr) == sorted(brute_contamination(rows, items), key=repr)
+
+
 def test_op3_fingerprints_keep_the_guarantee():
     rng = np.random.default_rng(2)
     for _ in range(50):
@@ -320,6 +345,52 @@ def test_op5_presence_is_the_kernel():
 URLS = [None, "", "no scheme", "http://Blog.Example.COM/en/71?x", "https://example.com/en/8#y", "http://a.net/de/1", "http://example.net/de/81", "http://example.net/de/7", "http://notorg/es/1", "http://x.org/es/", "http://org", "http://a.com:80/en/1", "ftp://com/en/", "http://com?/en/", "http://x.com/EN/1"]
 
 
+def test_op5_is_kernel_ridge_regression_where_all_rows_are_landmarks():
+    rng = np.random.default_rng(6)
+    y = np.repeat(np.arange(3), 20)
+    x = rng.random((60, langid_kernel.DIM)) < 0.002
+    x[np.arange(60), y] = True
+    bits = [r.tobytes() for r in np.packbits(x, axis=1)]
+    model = langid_kernel.fit(bits, ["abc"[i] for i in y], landmarks=20)
+    norm = langid_kernel.normalised(x)
+    kernel = (norm @ norm.T).astype(float)
+    dense = np.linalg.solve(kernel + langid_kernel.RIDGE * 60 * np.eye(60), np.eye(3)[y])
+    got = (norm @ model.landmarks) @ model.coefficients
+    assert np.abs(got - kernel @ dense).max() < 0.02
+
+
+def test_op5_many_languages_stay_within_bounds(monkeypatch):
+    monkeypatch.setattr(langid_kernel, "ALL_LANDMARKS", 10)
+    rng = np.random.default_rng(7)
+    for n in (3, 25):
+        y = np.arange(100) % n
+        x = np.zeros((100, langid_kernel.DIM), bool)
+        for j in range(3):
+            x[np.arange(100), 3 * y + j] = True
+        x |= rng.random(x.shape) < 0.0002
+        model = langid_kernel.fit([r.tobytes() for r in np.packbits(x, axis=1)], [f"l{i:02d}" for i in y])
+        assert model.landmarks.shape[1] <= 10 and len(model.languages) == n
+
+
+def test_op6_files_and_stores_that_cannot_be_mapped(spark, monkeypatch):
+    rules = [(f"h{i % 40}.example", f"/p{i}", "block" if i % 3 else "allow") for i in range(300)] + [("h1.example", "", "block")]
+    manifest = url_digest.write_rules(url_digest.rules_table(spark, rules), shard_rules=50)
+    held = sorted(manifest.collect(), key=lambda r: r["first"])
+    assert len(held) > 3 and sum(r["n_rules"] for r in held) == 301
+    files, firsts = [r["path"] for r in held], np.array([int(r["first"]) for r in held], np.uint64)
+    lengths = sorted({n for r in held for n in r["lengths"]})
+    urls = [f"http://www.{h}{p}/x" for h, p, _ in rules]
+    mapped = url_digest.judge(urls, files, firsts, lengths)
+    assert mapped[2][:300] == [max((h + p for h, p, _ in rules if u[11:].startswith(h + p)), key=len) for u in urls[:300]]
+    # The same bytes by another way of naming the store.
+    whole = url_digest.storage.filesystem
+    monkeypatch.setattr(url_digest, "HELD_BYTES", 0)
+    monkeypatch.setattr(url_digest.storage, "filesystem", lambda uri: whole(uri.replace("other:", "file:")))
+    url_digest._mapped.clear()
+    assert url_digest.judge(urls, [f.replace("file:", "other:") for f in files], firsts, lengths) == mapped
+    url_digest._mapped.clear()
+
+
 def test_op6_against_rules_one_by_one(spark):
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(URLS)] + [(3, URLS[3], "x"), (None, URLS[4], "y")], "page_id long, url string, rule string")
     rules = [*q.URL_RULES, ("com", "/en/", "block"), ("", "/x", "block")]
