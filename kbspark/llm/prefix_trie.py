@@ -41,7 +41,9 @@ def ordered(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     role_text, said = F.coalesce(F.col(role).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit(""))
     digest = F.unhex(F.md5(F.concat(F.octet_length(role_text).cast("string"), F.lit(":"), role_text, said).cast("binary")))
     rows = conversations.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).alias("turn"), digest.alias("said"), F.octet_length(said).cast("long").alias("n_bytes"))
-    placed = ranked(rows.where(F.col("conv_id").isNotNull()), ["conv_id"], ["turn", "said"], "turns")
+    # Written first: a range sort reads its input twice, and texts are read once.
+    rows = storage.materialise(rows.where(F.col("conv_id").isNotNull()), conversations.sparkSession, "said")
+    placed = ranked(rows, ["conv_id"], ["turn", "said"], "turns")
     return storage.materialise(placed.drop("turn"), conversations.sparkSession, "turns")
 
 
