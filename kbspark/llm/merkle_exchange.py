@@ -92,6 +92,8 @@ def leaves(docs: DataFrame, fields: Sequence[str], key: str, order: str, seen: C
     tree = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
     seen = F.lit(None).cast("binary") if seen is None else seen
     rows = docs.select(tree.alias("tree"), F.col(order).alias("id"), leaf_of([F.col(c) for c in fields]).alias("leaf"), seen.alias("seen"))
+    # Written first: a range sort reads its input twice, and texts are read and hashed once.
+    rows = storage.materialise(rows, docs.sparkSession, "hashed")
     return storage.materialise(ranked(rows, ["tree"], ["id", "leaf"], "leaves"), docs.sparkSession, "leaves")
 
 
