@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..registry import register
 from ..streaming import jobs, rules
+from ..streaming.ordered import stateful
 from . import fixtures as fx
 from .duck import sql
 
@@ -66,27 +67,70 @@ def s_token_budget(spark, d):
     return jobs.latest(jobs.token_budget(_calls(spark, d), 20_000), ["actor", "day"], "token-budget")
 
 
-KEYS = {
-    "s_login_throttle": (rules.throttle, "CAST(user_id AS STRING)"),
-    "s_task_lifecycle": (rules.lifecycle, "concat_ws('/', user_id, CAST(ts AS DATE))"),
-    "s_inflight_dedup": (rules.inflight, "concat_ws('/', user_id, event_type)"),
-    "s_repeat_search": (rules.repeats, "concat_ws('/', user_id, event_type)"),
+_TASK = "CASE {first} WHEN true THEN 'enqueue' ELSE CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'finish' ELSE 'fail' END END"
+#: (rule, key, sub, kind, how much slower than the table's the clock runs); ``DIV`` divides integers.
+RULES = {
+    "s_login_throttle": (rules.Throttle(), "concat(lower(trim(concat(' User ', event_id DIV 40, ' '))), '|10.0.0.', event_id % 2)", "''", "CASE event_type WHEN 'purchase' THEN 'success' WHEN 'signup' THEN 'check' ELSE 'failure' END", 8),
+    "s_task_lifecycle": (rules.Tasks(), "concat('task-', event_id DIV 8)", "''", _TASK.format(first="event_id % 8 = 0"), 1),
+    "s_inflight_dedup": (rules.Tasks(), "concat('owner-', event_id DIV 30)", "concat('question-', event_id % 3)", _TASK.format(first="event_id % 30 < 3"), 1),
+    "s_repeat_search": (rules.Repeats(), "concat('user-', event_id DIV 100)", "coalesce(event_type, '')", "'search'", 8),
 }
 
 
 def keyed(events, name):
-    return events.select(F.expr(KEYS[name][1]).alias("key"), F.col("event_id").alias("id"), (F.unix_micros("ts") / 1e6).alias("at"), F.col("event_type").alias("kind")).where("key IS NOT NULL AND at IS NOT NULL")
+    """(key, sub, id, ts, kind) of the table's events."""
+    _, key, sub, kind, slower = RULES[name]
+    return events.select(F.expr(key).alias("key"), F.expr(sub).alias("sub"), F.col("event_id").alias("id"), F.expr(f"timestamp_micros(unix_micros(ts) DIV {slower})").alias("ts"), F.expr(kind).alias("kind"))
+
+
+def _folded(name, columns, step, lapse, due):
+    """A twin that takes one event after another: ``step`` gives the state's ``columns`` and the output from those before, null where there is no state."""
+    _, key, sub, kind, slower = RULES[name]
+    names = list(columns)
+    was = ", ".join(f"CASE WHEN gone THEN NULL ELSE f.{c} END AS {c}" for c in names)
+    return f"""
+WITH RECURSIVE e AS (SELECT {key.replace("DIV", "//")} AS key, {sub} AS sub, event_id AS id, epoch_us(ts) // {slower} AS us, {kind} AS kind FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL),
+w AS (SELECT (max(us) // 1000 - 600000) / 1000.0::DOUBLE AS now FROM e),
+ev AS (SELECT key, sub, id, us / 1e6 AS tm, kind, row_number() OVER (PARTITION BY key, sub ORDER BY us, id) AS rn FROM e, w WHERE us / 1e6 <= now),
+f AS (SELECT DISTINCT key, sub, 0::BIGINT AS rn, NULL::BIGINT AS id, NULL::DOUBLE AS tm, NULL::VARCHAR AS output, {", ".join(f"NULL::{t} AS {c}" for c, t in columns.items())}, NULL::VARCHAR AS lapse, NULL::DOUBLE AS lapsed_at FROM ev
+  UNION ALL SELECT key, sub, rn, id, tm, {step}, lapse, lapsed_at
+  FROM (SELECT key, sub, rn, id, tm, kind, lapse, lapsed_at, {", ".join(names)} FROM (
+    SELECT e.key, e.sub, e.rn, e.id, e.tm, e.kind, coalesce({due} < e.tm, false) AS gone, CASE WHEN gone THEN {lapse} END AS lapse, CASE WHEN gone THEN {due} END AS lapsed_at, {was}
+    FROM f JOIN ev e ON e.key = f.key AND e.sub = f.sub AND e.rn = f.rn + 1))),
+ends AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY key, sub ORDER BY rn DESC) = 1),
+rows AS (SELECT key, sub, id, tm, output FROM f WHERE rn > 0
+  UNION ALL SELECT key, sub, NULL, lapsed_at, lapse FROM f WHERE lapse IS NOT NULL
+  UNION ALL SELECT key, sub, NULL, {due}, {lapse} FROM ends f, w WHERE {due} < now AND {lapse} IS NOT NULL)
+SELECT key, sub, id, CAST(round(tm * 1e6) AS BIGINT) AS at_us, output FROM rows"""
+
+
+_TASK_STEP = """CASE WHEN status IS NULL THEN CASE WHEN kind = 'enqueue' THEN 'queued' ELSE 'ignored' END WHEN kind = 'enqueue' THEN 'reuse ' || task
+    WHEN (status = 'queued' AND kind = 'claim') OR (status = 'running' AND kind = 'progress') THEN 'running' WHEN kind = 'fail' THEN 'failed' WHEN status = 'running' AND kind = 'finish' THEN 'done' ELSE 'ignored' END,
+  CASE WHEN status IS NULL THEN CASE WHEN kind = 'enqueue' THEN 'queued' END WHEN (status = 'queued' AND kind = 'claim') OR (status = 'running' AND kind = 'progress') THEN 'running'
+    WHEN kind = 'fail' OR (status = 'running' AND kind = 'finish') THEN NULL ELSE status END,
+  CASE WHEN (status IS NULL AND kind = 'enqueue') OR (status = 'queued' AND kind = 'claim') OR (status = 'running' AND kind = 'progress') THEN tm ELSE seen END,
+  CASE WHEN status IS NULL THEN id ELSE task END"""
+_TASK_TWIN = ({"status": "VARCHAR", "seen": "DOUBLE", "task": "BIGINT"}, _TASK_STEP, "CASE f.status WHEN 'queued' THEN 'failed: never started' WHEN 'running' THEN 'failed: lost' END", "CASE WHEN f.status IS NOT NULL THEN f.seen + 300 END")
+TWINS = {
+    "s_login_throttle": ({"start": "DOUBLE", "fails": "BIGINT"}, """CASE WHEN fails >= 5 THEN 'locked' ELSE 'allowed' END,
+  CASE WHEN coalesce(fails, 0) >= 5 OR kind = 'check' THEN start WHEN kind = 'success' THEN NULL ELSE coalesce(start, tm) END,
+  CASE WHEN coalesce(fails, 0) >= 5 OR kind = 'check' THEN fails WHEN kind = 'success' THEN NULL ELSE coalesce(fails, 0) + 1 END""", "NULL::VARCHAR", "f.start + 900"),
+    "s_task_lifecycle": _TASK_TWIN,
+    "s_inflight_dedup": _TASK_TWIN,
+    "s_repeat_search": ({"start": "DOUBLE"}, "CASE WHEN tm - start < 60 THEN 'repeat' ELSE 'logged' END, CASE WHEN tm - start < 60 THEN start ELSE tm END", "NULL::VARCHAR", "f.start + 60"),
+}
 
 
-def _stateful(name):
+def _ruled(name):
     def run(spark, d):
-        return jobs.drained(jobs.stateful(keyed(_events(spark, d, None), name), KEYS[name][0]), name)
+        rows = jobs.drained(stateful(keyed(_events(spark, d, None), name), RULES[name][0]), name)
+        return rows.select("key", "sub", "id", F.expr("CAST(round(at * 1e6) AS BIGINT)").alias("at_us"), "output")
 
     return run
 
 
-for _name in KEYS:
-    register(_name)(_stateful(_name))
+for _name in RULES:
+    register(_name, _folded(_name, *TWINS[_name]))(_ruled(_name))
 
 
 @register("s_retrieval", sql("""

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.text import squeezed
 from ..operators.usage import ZONE
 from ..operators.vectors import chunk_corpus, chunk_publish
 from ..session import materialise, new_dir
-
-Rule = Callable[[dict, dict], tuple[dict, str]]
-OUT = "key string, id long, at double, output string"
+from .versions import Versioned
 
 
 def stream(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
@@ -31,55 +26,21 @@ def stream(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
     return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
-def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there and read what it wrote."""
+def drained(df: DataFrame, name: str, mode: str = "append", root: str | None = None) -> DataFrame:
+    """Run a stream over all that is there and read what it wrote; with the ``root`` of an earlier run it goes on from there."""
     spark = df.sparkSession
-    root = new_dir(spark, name)
+    root = root or new_dir(spark, name)
     query = df.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{root}/out")
 
 
-def each_batch(df: DataFrame, name: str, put: Callable[[DataFrame, int], None], mode: str = "append") -> None:
-    """Run a stream over all that is there through ``put(rows, batch)``."""
-    root = new_dir(df.sparkSession, name)
+def each_batch(df: DataFrame, name: str, put: Callable[[DataFrame, int], None], mode: str = "append", root: str | None = None) -> None:
+    """Run a stream over all that is there through ``put(rows, batch)``; with the ``root`` of an earlier run it goes on from there."""
+    root = root or new_dir(df.sparkSession, name)
     df.writeStream.foreachBatch(put).option("checkpointLocation", f"{root}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
 
 
-def replayed(events: DataFrame, rule: Rule) -> DataFrame:
-    """Batch twin of ``stateful``: every key's events in order, streamed through a partition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, state = None, {}
-        for rows in batches:
-            out = []
-            for key, i, at, kind in zip(rows["key"], rows["id"], rows["at"], rows["kind"], strict=True):
-                if key != now:
-                    now, state = key, {}
-                state, said = rule(state, {"id": int(i), "at": float(at), "kind": kind})
-                out.append((key, i, at, said))
-            yield pd.DataFrame(out, columns=["key", "id", "at", "output"])
-
-    rows = events.select("key", "id", "at", "kind").repartition("key").sortWithinPartitions("key", "at", "id")
-    return rows.mapInPandas(run, OUT)
-
-
-def stateful(events: DataFrame, rule: Rule) -> DataFrame:
-    """A rule over the stream (key, id, at, kind); a key's state is kept between batches, its events ordered within one."""
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = json.loads(held.get[0]) if held.exists else {}
-        rows = pd.concat(list(parts)).sort_values(["at", "id"])
-        out = []
-        for i, at, kind in zip(rows["id"], rows["at"], rows["kind"], strict=True):
-            state, said = rule(state, {"id": int(i), "at": float(at), "kind": kind})
-            out.append((key[0], i, at, said))
-        held.update((json.dumps(state),))
-        yield pd.DataFrame(out, columns=["key", "id", "at", "output"])
-
-    return events.groupBy("key").applyInPandasWithState(run, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
-
-
 # What a usage report may say.
 KINDS = ["llm", "embedding"]
 REPORT = "kind string, purpose string, model string, input_chars long, tokens long, ok boolean, error string"
@@ -145,58 +106,64 @@ def latest(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__batch").alias("r")).select(*keys, "r.*")
 
 
-def retrieval(hits: DataFrame, start: DataFrame) -> DataFrame:
-    """Merge a stream of hits (id) into a counter table (id, n): each batch joins, and a new version takes the place of the last."""
+def retrieval(hits: DataFrame, start: DataFrame, root: str | None = None) -> DataFrame:
+    """Merge a stream of hits (id) into a counter table (id, n), versions of which are kept below ``root``: each batch counts once."""
     spark = hits.sparkSession
-    root = new_dir(spark, "counters")
-    held = {"path": f"{root}/v-start"}
-    start.select("id", F.col("n").cast("long").alias("n")).write.parquet(held["path"])
+    root = root or new_dir(spark, "counters")
+    table = Versioned(spark, f"{root}/table")
+    table.start(start.select("id", F.col("n").cast("long").alias("n")))
 
-    def put(rows: DataFrame, batch: int) -> None:
+    def merge(old: DataFrame, rows: DataFrame) -> DataFrame:
         new = rows.groupBy("id").agg(F.count(F.lit(1)).alias("more"))
-        old = spark.read.parquet(held["path"])
-        merged = old.join(new, "id", "full_outer").select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
-        path = f"{root}/v-{batch:06d}"
-        merged.write.mode("overwrite").parquet(path)
-        held["path"] = path
+        return old.join(new, "id", "full_outer").select("id", (F.coalesce("n", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("n"))
+
+    each_batch(hits.select("id"), "retrieval", table.step(merge), root=root)
+    return table.read()
 
-    each_batch(hits.select("id"), "retrieval", put)
-    return spark.read.parquet(held["path"])
 
+def retention(log: DataFrame, as_of: str, days: int = 180, root: str | None = None) -> DataFrame:
+    """Write a log by day, and drop the days behind the horizon after each batch.
 
-def retention(log: DataFrame, as_of: str, days: int = 180) -> DataFrame:
-    """Write a log by day, and drop the days behind the horizon after each batch."""
+    A batch overwrites the folders of its own number in each day, so a batch that is
+    done again changes nothing.
+    """
     spark = log.sparkSession
-    root = new_dir(spark, "retention") + "/log"
+    root = root or new_dir(spark, "retention")
     oldest = spark.range(1).select(F.date_sub(F.lit(as_of).cast("date"), days).cast("string")).first()[0]
 
     def put(rows: DataFrame, batch: int) -> None:
-        rows.withColumn("day", F.col("ts").cast("date").cast("string")).withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("day", "batch").parquet(root)
-        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        kept = rows.withColumn("day", F.col("ts").cast("date").cast("string")).withColumn("batch", F.lit(batch)).where(F.col("day") >= oldest)
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{root}/log")
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/log")
         files = path.getFileSystem(spark._jsc.hadoopConfiguration())
         for status in files.listStatus(path):
             name = status.getPath().getName()
             if name.startswith("day=") and name[4:] < oldest:
                 files.delete(status.getPath(), True)
 
-    each_batch(log, "retention-stream", put)
-    return spark.read.schema(T.StructType([*log.schema.fields, T.StructField("day", T.StringType()), T.StructField("batch", T.IntegerType())])).parquet(root)
+    each_batch(log, "retention-stream", put, root=root)
+    return spark.read.schema(T.StructType([*log.schema.fields, T.StructField("day", T.StringType()), T.StructField("batch", T.IntegerType())])).parquet(f"{root}/log")
+
 
+def chunk_refresh(saves: DataFrame, stored: DataFrame, root: str | None = None) -> DataFrame:
+    """A stream of saves (id, seq, content_hash, body): only concepts whose text has changed are cut again, and published whole.
 
-def chunk_refresh(saves: DataFrame, stored: DataFrame) -> DataFrame:
-    """A stream of saves (id, seq, content_hash, body): only concepts whose text has changed are cut again, and published whole."""
+    The chunk table is kept in versions below ``root``, one for each batch.
+    """
     spark = saves.sparkSession
-    held = {"rows": materialise(stored.select("id", "ordinal", "content_hash", "text"), "chunks")}
+    root = root or new_dir(spark, "chunks")
+    table = Versioned(spark, f"{root}/table")
+    table.start(stored.select("id", "ordinal", "content_hash", "text"))
 
-    def put(rows: DataFrame, batch: int) -> None:
+    def publish(held: DataFrame, rows: DataFrame) -> DataFrame:
         last = rows.groupBy("id").agg(F.max_by(F.struct("content_hash", "body"), "seq").alias("s")).select("id", "s.*")
-        last = materialise(last.join(held["rows"].select("id", "content_hash").distinct(), ["id", "content_hash"], "left_anti"), "changed")
+        last = materialise(last.join(held.select("id", "content_hash").distinct(), ["id", "content_hash"], "left_anti"), "changed")
         cut = chunk_corpus(last).join(last.select("id", "content_hash"), "id")
         size = cut.groupBy("id").agg(F.count(F.lit(1)).alias("n_chunks"))
-        held["rows"] = materialise(chunk_publish(held["rows"], cut.join(size, "id"), last), "chunks")
+        return chunk_publish(held, cut.join(size, "id"), last)
 
-    each_batch(saves, "chunk-refresh", put)
-    return held["rows"]
+    each_batch(saves, "chunk-refresh", table.step(publish), root=root)
+    return table.read()
 
 
 def capture(notes: DataFrame) -> DataFrame:

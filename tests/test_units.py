@@ -12,7 +12,6 @@ from kbspark.functions.markdown import chunks, headings, sections
 from kbspark.functions.words import Grams, trigram_list, word_similarity
 from kbspark.operators import evidence, folders, links, search, usage, vectors
 from kbspark.sources import bundle
-from kbspark.streaming import jobs, rules
 
 
 def col(spark, value, expr):
@@ -212,49 +211,6 @@ def test_admission():
     assert usage.admit_one([], 0, 0, 1, usage.CALL_LIMITS) == "admitted"
 
 
-def test_rules():
-    state, said = {}, []
-    for at in (0, 1, 2, 3, 4, 5, 901):
-        state, x = rules.throttle(state, {"id": 1, "at": at, "kind": "error"})
-        said.append(x)
-    assert said == ["allowed"] * 5 + ["locked", "allowed"]
-    state, _ = rules.lifecycle({}, {"id": 1, "at": 0, "kind": "signup"})
-    assert rules.lifecycle(state, {"id": 2, "at": 400, "kind": "view"})[1] == "failed: never started"
-    state, _ = rules.lifecycle(state, {"id": 2, "at": 10, "kind": "view"})
-    assert rules.lifecycle(state, {"id": 3, "at": 400, "kind": "purchase"})[1] == "failed: lost"
-    assert rules.repeats({"start": 0}, {"id": 1, "at": 59, "kind": ""})[1] == "repeat"
-    assert rules.inflight({"start": 0, "id": 4}, {"id": 5, "at": 10, "kind": ""})[1] == "reuse 4"
-
-
-def test_streams_agree_with_batches(spark, sf_dir):
-    """Rules over a stream of small files, dealt in turns, give what the ordered replay gives."""
-    from kbspark.plans import streams
-    from kbspark.session import new_dir
-
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = new_dir(spark, "events") + "/e"
-    events.repartitionByRange(6, "ts").write.parquet(path)
-    for name, (rule, _) in streams.KEYS.items():
-        rows = streams.keyed(events, name)
-        batch = {(r.key, r.id): r.output for r in jobs.replayed(rows, rule).collect()}
-        live = streams.keyed(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 6).parquet(path), name)
-        assert {(r.key, r.id): r.output for r in jobs.drained(jobs.stateful(live, rule), name).collect()} == batch
-
-
-def test_streams_do_not_depend_on_files(spark, sf_dir):
-    """Events in 20 files without order give what one file gives."""
-    from kbspark.plans import streams
-    from kbspark.session import new_dir
-
-    folder = new_dir(spark, "cut")
-    spark.read.parquet(f"{sf_dir}/events.parquet").repartition(20, F.xxhash64("event_id")).write.parquet(f"{folder}/events.parquet")
-    assert len(spark.read.parquet(f"{folder}/events.parquet").inputFiles()) > 8
-    runs = {"s_traffic": streams.s_traffic, "s_call_rate": streams.s_call_rate} | {name: streams._stateful(name) for name in streams.KEYS}
-    for name, run in runs.items():
-        one, many = (sorted(map(str, run(spark, d).collect())) for d in (sf_dir, folder))
-        assert one and one == many, name
-
-
 def test_bundle_classify_is_the_sequential_fold(spark):
     rng = random.Random(3)
     docs = [(i, f"t{rng.randrange(12)}", f"h{rng.randrange(12)}") for i in range(40)]
