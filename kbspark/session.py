@@ -7,6 +7,9 @@ import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of one batch handed to a Python worker.
@@ -64,6 +67,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_parts(df: DataFrame, name: str, parts: int) -> list[str]:
+    """Write a table to the shared folder as so many files, which tasks read by themselves (``read_part``)."""
+    spark = df.sparkSession
+    path = f"{new_dir(spark, name)}/table"
+    df.repartition(parts).write.parquet(path)
+    return sorted(spark.read.parquet(path).inputFiles())
+
+
+def read_part(uri: str) -> pa.Table:
+    """One file of ``shared_parts``, read in a task from wherever the shared folder is."""
+    files, path = (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+    return pq.read_table(path, filesystem=files, partitioning=None)
+
+
+def spread_out(df: DataFrame, *keys: str) -> DataFrame:
+    """``over_all_cores``, where the input itself has too few parts to keep them busy."""
+    return df if df.rdd.getNumPartitions() >= 4 * df.sparkSession.sparkContext.defaultParallelism else over_all_cores(df, *keys)
+
+
 def over_all_cores(df: DataFrame, *keys: str) -> DataFrame:
     """Rows by hash of ``keys`` over all cores, for work that is heavy for its bytes: adaptive coalescing would give it to few tasks."""
     spark = df.sparkSession

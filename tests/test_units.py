@@ -3,12 +3,14 @@
 import math
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.functions.markdown import chunks, headings, sections
+from kbspark.functions import words
 from kbspark.functions.words import Grams, trigram_list, word_similarity
 from kbspark.operators import evidence, folders, links, search, usage, vectors
 from kbspark.sources import bundle
@@ -47,16 +49,31 @@ def test_bm25f_weights_fields(spark):
     assert found == {i: round(idf * w * 2.2 / (1.2 + w), 2) for i, w in ((1, 2.0), (2, 1.25), (3, 1.0))}
 
 
-def test_word_similarity_agrees_with_all_stretches():
+def best_stretch(needle, body):
+    """Over all stretches of a text, of any length."""
+    want, have = set(trigram_list(needle)), trigram_list(body)
+    return max((len(want & set(have[i:j])) / len(want | set(have[i:j])) for i in range(len(have)) for j in range(i + 1, len(have) + 1)), default=0.0) if want else 0.0
+
+
+def test_word_similarity_agrees_with_all_stretches(monkeypatch):
     rng = random.Random(1)
-    for _ in range(100):
-        needle = "".join(rng.choice("abc ") for _ in range(8))
-        body = "".join(rng.choice("abcd ") for _ in range(40))
-        want, have = set(trigram_list(needle)), trigram_list(body)
-        best = max((len(want & set(have[i:j])) / len(want | set(have[i:j])) for i in range(len(have)) for j in range(i + 1, min(len(have), i + 4 * len(want)) + 1)), default=0.0) if want else 0.0
-        assert abs(word_similarity(needle, Grams(body)) - best) < 1e-12
-        assert abs(word_similarity(needle, Grams(body), 0.4) - (best if best >= 0.4 else 0.0)) < 1e-12
+    for seed in range(120):
+        monkeypatch.setattr(words, "_PLACES", 20 if seed % 2 else 1 << 20)
+        letters, size = rng.choice([("abcd ", 40), ("ab ", 60), ("abcdefghijk    ", 90), ("a ", 50)])
+        needles = ["".join(rng.choice(letters) for _ in range(rng.choice([3, 8, 20]))) for _ in range(6)]
+        body = "".join(rng.choice(letters) for _ in range(size)) + rng.choice(["", " ab" * 12, " zz" * 20 + " abc"])
+        grams, exact = Grams(body), [best_stretch(x, body) for x in needles]
+        always = np.array([True, False] * 3)
+        rarity = {t: rng.randrange(9) for x in needles for t in trigram_list(x)}
+        got = words.Needles(needles, 0.4, rarity).word_similarities(grams, always)
+        assert np.allclose(got, [x if x >= 0.4 or a else 0.0 for x, a in zip(exact, always, strict=True)], atol=1e-12)
+        assert np.allclose([word_similarity(x, grams) for x in needles], exact, atol=1e-12)
+        assert np.allclose(words.Needles(needles).similarities(body), [len(set(trigram_list(x)) & set(trigram_list(body))) / max(1, len(set(trigram_list(x)) | set(trigram_list(body)))) for x in needles])
     assert word_similarity("word", Grams("two words")) > 0.6
+    # What stands between may be long, as long as it is of few trigrams.
+    far = "red " + "zz " * 20 + "fox"
+    assert abs(word_similarity("red fox", Grams(far)) - best_stretch("red fox", far)) < 1e-12 and word_similarity("red fox", Grams(far)) > 0.72
+    assert word_similarity("red fox", Grams("red " + "zz " * 200_000 + "fox")) > 0.72 and word_similarity("ab", Grams("")) == 0.0
 
 
 @settings(max_examples=200, deadline=None)
@@ -133,8 +150,8 @@ def test_fuzzy_fallback_agrees_with_all_pairs(spark, monkeypatch):
     for q, needle in needles[:9]:
         hits = []
         for i, title, note, body, status in docs:
-            sim, words = jaccard(needle, title), word_similarity(needle, Grams(body or ""))
-            if sim >= 0.1 or words >= 0.4:
+            sim, words = jaccard(needle, title), best_stretch(needle, body or "")
+            if sim >= 0.1 or words >= 0.4 or jaccard(needle, body) >= 0.1:
                 hits.append((round((sim * 50 + words * 20 + jaccard(needle, note) * 12) * (0.25 if status == "deprecated" else 1.0), 6), i // 3, i))
         hits.sort(key=lambda h: (-h[0], -h[1], h[2]))
         want += [(q, rank, h[2], h[0], len(hits)) for rank, h in enumerate(hits[:4], 1)]
