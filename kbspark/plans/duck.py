@@ -44,12 +44,14 @@ CTES = {
   FROM (SELECT id, owner_id, category, updated_at, translate(title, '#`~', '---') AS title, translate(body, '#`~', '---') AS body FROM corpus)""",
     "folders": "SELECT DISTINCT source AS owner_id, lang || '/' || source || '/empty' AS path FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL",
     "query_table": r"""SELECT conv_id * 1000 + turn AS query_id, q || CASE WHEN conv_id % 5 = 0 THEN ' tag:en' ELSE '' END || CASE WHEN conv_id % 7 = 0 THEN ' status:draft' ELSE '' END
-  || CASE WHEN conv_id % 35 = 0 THEN ' type:note' ELSE '' END AS raw
+  || CASE WHEN conv_id % 35 = 0 THEN ' type:note' ELSE '' END
+  || CASE WHEN conv_id % 22 = 0 THEN ' category:en/src1' WHEN conv_id % 11 = 0 THEN ' category:fr' ELSE '' END AS raw
   FROM (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN substr(q, 2, 1) || substr(q, 1, 1) || substr(q, 3) ELSE q END AS q
     FROM (SELECT conv_id, turn, trim(regexp_replace(substr(text, 1, 60), '\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL))""",
-    "parsed": r"""SELECT query_id, regexp_replace(trim(regexp_replace(regexp_replace(raw, ' (tag|status|type):[^ ]*', '', 'g'), '\s+', ' ', 'g')), '^(.{200}).*$', '\1') AS needle,
+    "parsed": r"""SELECT query_id, regexp_replace(trim(regexp_replace(regexp_replace(raw, ' (tag|category|status|type):[^ ]*', '', 'g'), '\s+', ' ', 'g')), '^(.{200}).*$', '\1') AS needle,
   CASE WHEN raw LIKE '% tag:en%' THEN ['en'] ELSE []::VARCHAR[] END AS tags, CASE WHEN raw LIKE '% status:draft%' THEN 'draft' END AS status,
-  CASE WHEN raw LIKE '% type:note%' THEN 'note' END AS type FROM query_table""",
+  CASE WHEN raw LIKE '% type:note%' THEN 'note' END AS type,
+  CASE WHEN raw LIKE '% category:en/src1%' THEN 'en/src1' WHEN raw LIKE '% category:fr%' THEN 'fr' END AS category FROM query_table""",
     "chunk_vectors": "SELECT vec_id, vec_id % n AS concept_id, embedding, vec_id % 13 = 0 AS stale FROM embeddings, (SELECT count(*) AS n FROM documents) WHERE n > 0",
     "query_vectors": "SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0",
     "request_log": """SELECT event_id, ts, user_id, CASE event_type WHEN 'error' THEN 500 ELSE 200 END AS status, CAST(floor(value * 10) AS INT) AS took_ms,

@@ -159,7 +159,7 @@ def query_table(spark: SparkSession, d: str) -> DataFrame:
     base = F.expr("trim(regexp_replace(substring(text, 1, 60), '\\\\s+', ' '))")
     typo = F.expr("CASE WHEN conv_id % 9 = 0 THEN concat(substring(q, 2, 1), substring(q, 1, 1), substring(q, 3)) ELSE q END")
     raw = F.expr(
-        "concat(q, CASE WHEN conv_id % 5 = 0 THEN ' tag:en' ELSE '' END, CASE WHEN conv_id % 7 = 0 THEN ' status:draft' ELSE '' END, CASE WHEN conv_id % 35 = 0 THEN ' type:note' ELSE '' END)"
+        "concat(q, CASE WHEN conv_id % 5 = 0 THEN ' tag:en' ELSE '' END, CASE WHEN conv_id % 7 = 0 THEN ' status:draft' ELSE '' END, CASE WHEN conv_id % 35 = 0 THEN ' type:note' ELSE '' END, CASE WHEN conv_id % 22 = 0 THEN ' category:en/src1' WHEN conv_id % 11 = 0 THEN ' category:fr' ELSE '' END)"
     )
     return turns.select("conv_id", "turn", base.alias("q")).select("conv_id", "turn", typo.alias("q")).select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), raw.alias("raw"))
 
