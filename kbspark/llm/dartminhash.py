@@ -9,13 +9,14 @@ coordinates it keeps the dart of least rank.  Two documents agree in a coordinat
 with the probability of their weighted Jaccard similarity.
 
 Signatures are banded.  Exact copies are one node throughout.  Within a bucket
-every node is compared with the least one.  Buckets that are then in more than one
-class go through rounds: a node is compared with the ``HUBS`` nodes of other
-classes that meet most others, and with the nearest nodes of ``NEAR`` other classes
-in several orders by the other bands; rounds end when one finds no link.  Every pass
-is linear in the bucket's size.  All is decided by the weighted Jaccard similarity
-of the whole sets, of which a shingle is a 32-bit number (two shingles of a pair of
-texts that share one by chance count as the same).  Classes are the connected components of the links.
+every node is compared with the least one, and the links found are put together to
+classes.  In a bucket that still holds several classes, all pairs of nodes of
+different classes are compared (``across``): in blocks of bounded size, as products
+of matrices inside tasks, which give no more rows than there are classes to join.
+So classes are the connected components of the links of all pairs that share a
+bucket, whatever the order or layout of the rows.  All is decided by the weighted
+Jaccard similarity of the whole sets, of which a shingle is a 32-bit number (two
+shingles of a pair of texts that share one by chance count as the same).
 
 Defined results: null and empty texts are classes of their own; texts without
 words, or equal texts under different ids, are one class by exact equality; a text
@@ -32,10 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from . import graph, storage, textscan
+from .ranking import ranked
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,8 +47,10 @@ BANDS, ROWS = 20, 5
 #: Rows in a slice: a row's number takes 11 bits of a 64-bit sort key, a shingle's hash 53.
 _ROW_BITS = 11
 _HASH_BITS = 64 - _ROW_BITS
-#: In a bucket of several classes: nodes that all others are compared with, other classes whose nearest nodes are, and bands in an order of nearness.
-HUBS, NEAR, TURN = 4, 3, 4
+#: Nodes, and bytes of sets, of a block of a bucket; a pair of blocks is compared in one task.
+BLOCK_NODES, BLOCK_BYTES = 2048, 1 << 24
+#: Nodes compared by one product, and the numbers of a matrix for it.
+_SIDE, _CELLS = 512, 1 << 22
 #: Unit cells whose darts are thrown at a time, whatever the number and length of texts.
 CELLS = 1 << 17
 #: Bytes of text in a slice.
@@ -246,30 +251,119 @@ def verified(pairs: DataFrame, packed: DataFrame, threshold: float) -> DataFrame
     return storage.materialise(joined.select("a", "b", "held_a", "held_b").mapInArrow(compare, "a binary, b binary"), pairs.sparkSession, "verified")
 
 
-def _neighbours(rows: DataFrame) -> DataFrame:
-    """Pairs of each of ``rows(bucket, turn, order, node, label)`` with the rows before it in its bucket and turn, by ``order``: the last one of each of the nearest ``NEAR`` other classes.
+def _levels(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A packed set as features whose weights add up: an element of n occurrences has n of them, and two sets share the least number."""
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    rest = np.frombuffer(data, "<u4", offset=4)
+    keys = [rest[:n].astype(np.uint64) << np.uint64(32)]
+    more = rest[n:].reshape(2, -1).astype(np.int64)
+    level = np.arange((more[1] - 1).sum()) - np.repeat(np.cumsum(more[1] - 1) - more[1] + 1, more[1] - 1) + 2
+    keys.append((np.repeat(rest[more[0]].astype(np.uint64), more[1] - 1) << np.uint64(32)) | level.astype(np.uint64))
+    return np.concatenate(keys), np.concatenate([np.ones(n), np.log(level / (level - 1))])
+
+
+def nearness(x: list[tuple[np.ndarray, np.ndarray]], y: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Weighted Jaccard similarities of all sets of two lists, to about six digits."""
+    sizes = [np.array([len(k) for k, _ in z]) for z in (x, y)]
+    keys, places = np.unique(np.concatenate([k for z in (x, y) for k, _ in z]), return_inverse=True)
+    cut = sizes[0].sum()
+    both = np.zeros(len(keys), np.int64)
+    both[places[:cut]] = 1
+    both[places[cut:]] |= 2
+    number = np.cumsum(both == 3) - 1
+    sides = []
+    for z, size, place in ((x, sizes[0], places[:cut]), (y, sizes[1], places[cut:])):
+        kept = both[place] == 3
+        sides.append((np.repeat(np.arange(len(z)), size)[kept], number[place[kept]], np.sqrt(np.concatenate([w for _, w in z])[kept]).astype(np.float32)))
+    shared, width = np.zeros((len(x), len(y)), np.float32), max(1, _CELLS // max(len(x), len(y)))
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        m = []
+        for z, (row, column, value) in zip((x, y), sides, strict=True):
+            here = (column >= a) & (column < a + width)
+            m.append(np.zeros((len(z), width), np.float32))
+            m[-1][row[here], column[here] - a] = value[here]
+        shared += m[0] @ m[1].T
+    whole = [np.array([w.sum() for _, w in z]) for z in (x, y)]
+    return shared / np.maximum(whole[0][:, None] + whole[1][None, :] - shared, 1e-9)
+
+
+def joined(bucket: int, left: np.ndarray, right: np.ndarray, labels: np.ndarray, bands: np.ndarray, held: list[bytes], threshold: float) -> list[tuple[int, int]]:
+    """Links that join the classes of two blocks of a bucket: of all pairs of ``left`` and ``right`` whose first common bucket this is."""
+    band = int((bands[0] == bucket).argmax())
+    parent = np.arange(labels.max() + 1)
+    known: dict[int, tuple] = {}
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def levels(rows: np.ndarray) -> list:
+        return [known.setdefault(i, _levels(held[i])) if i not in known else known[i] for i in rows.tolist()]
 
-    The sort key goes on within a bucket, so a large one lies over several tasks.
-    """
+    out = []
+    for x in (left[a : a + _SIDE] for a in range(0, len(left), _SIDE)):
+        for y in (right[a : a + _SIDE] for a in range(0, len(right), _SIDE)):
+            pairs = (labels[x][:, None] != labels[y][None, :]) & (x[:, None] < y[None, :])
+            for k in range(band):
+                pairs &= bands[x, k][:, None] != bands[y, k][None, :]
+            p, q = np.nonzero(pairs)
+            if len(p) > 32:
+                rows, columns = np.unique(p), np.unique(q)
+                close = nearness(levels(x[rows]), levels(y[columns])) >= threshold - 1e-3
+                keep = close[np.searchsorted(rows, p), np.searchsorted(columns, q)]
+                p, q = p[keep], q[keep]
+            for i, j in zip(x[p].tolist(), y[q].tolist(), strict=True):
+                u, v = root(labels[i]), root(labels[j])
+                if u != v and similarity(held[i], held[j]) >= threshold:
+                    parent[u] = v
+                    out.append((i, j))
+    return out
+
+
+def across(met: DataFrame, labels: DataFrame, packed: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between classes that share a bucket, enough to join all that any pair of their nodes links."""
+    spark = met.sparkSession
+    spread = met.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("bucket"))
+    several = spread.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") != F.col("high")).select("bucket")
+    mixed = spread.join(several, "bucket").join(packed.select("node", F.octet_length("held").alias("bytes")), "node")
+    mixed = storage.materialise(ranked(mixed, ["bucket"], ["label", "node"], "mixed"), spark, "mixed")
+    widest = mixed.groupBy("bucket").agg(F.max("bytes").alias("widest"))
+    size = F.least(F.lit(BLOCK_NODES), F.greatest(F.lit(16), F.lit(BLOCK_BYTES) / F.greatest("widest", F.lit(1))).cast("int"))
+    placed = mixed.join(widest, "bucket").select("bucket", "node", "label", F.floor(F.col("pos") / size).alias("block"))
+    # Blocks follow the labels, so pairs of blocks of one and the same class fall out.
+    blocks = placed.groupBy("bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    other = blocks.select("bucket", F.col("block").alias("j"), F.col("low").alias("low_j"), F.col("high").alias("high_j"))
+    met_blocks = blocks.join(other, "bucket").where((F.col("block") <= F.col("j")) & ((F.col("low") != F.col("high_j")) | (F.col("low_j") != F.col("high"))))
+    sides = met_blocks.select("bucket", F.col("block").alias("i"), "j", F.explode(F.array_distinct(F.array("block", "j"))).alias("block"))
+    rows = placed.join(sides, ["bucket", "block"]).join(met.select("node", "bands"), "node").join(packed.select("node", "held"), "node")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def links() -> pa.RecordBatch:
+            block, node, label, bands, held = (list(x) for x in zip(*group, strict=True))
+            numbers = np.unique(np.array(label, object), return_inverse=True)[1]
+            block = np.array(block)
+            found = joined(key[0], np.flatnonzero(block == key[1]), np.flatnonzero(block == key[2]), numbers, np.array(bands), held, threshold)
+            return pa.RecordBatch.from_arrays([pa.array([node[pair[side]] for pair in found], pa.binary()) for side in (0, 1)], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last = None, {}
         for batch in batches:
-            bucket, turn, node, label = (batch.column(x).to_pylist() for x in ("bucket", "turn", "node", "label"))
-            a, b = [], []
-            for i, own in enumerate(zip(bucket, turn, strict=True)):
-                if own != at:
-                    at, last = own, {}
-                last.pop(label[i], None)
-                a.extend(last.values())
-                b.extend([node[i]] * len(last))
-                last[label[i]] = node[i]
-                if len(last) > NEAR:
-                    del last[next(iter(last))]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    ordered = rows.repartitionByRange("bucket", "turn", "order", "node").sortWithinPartitions("bucket", "turn", "order", "node")
-    return ordered.mapInArrow(run, "a binary, b binary")
+            columns = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "node", "label", "bands", "held")]
+            for row in zip(*columns, strict=True):
+                if row[:3] != key:
+                    if group:
+                        yield links()
+                    key, group = row[:3], []
+                group.append(row[3:])
+        if group:
+            yield links()
+
+    keys = ["bucket", "i", "j"]
+    # By block within a pair of blocks, so that a node of the first stands before one of the second.
+    grouped = session.over_all_cores(rows, *keys).sortWithinPartitions(*keys, "block", "node")
+    return storage.materialise(grouped.select(*keys, "block", "node", "label", "bands", "held").mapInArrow(compare, "a binary, b binary"), spark, "across")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -299,30 +393,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresho
     links = verified(tried, packed, threshold)
     labels = graph.components(links)
 
-    # Buckets that still hold several classes, until nothing more is found.
-    while True:
-        spread = met.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("bucket"))
-        several = spread.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n")).where(F.col("low") != F.col("high")).select("bucket", "n")
-        spread = storage.materialise(spread.join(several, "bucket").select("bucket", "n", "node", "label"), spark, "mixed")
-        reach = spread.groupBy("node").agg(F.sum("n").alias("reach"))
-        best = Window.partitionBy("bucket").orderBy(F.desc("reach"), "node")
-        hubs = spread.select("bucket", "node", "label").join(reach, "node").withColumn("r", F.row_number().over(best)).where(F.col("r") <= HUBS).select("bucket", F.col("node").alias("a"), F.col("label").alias("hub_label"))
-        around = spread.join(hubs, "bucket").where(F.col("label") != F.col("hub_label")).select("a", F.col("node").alias("b"))
-        # A bucket's other bands from its own on, in turns of a few bands.
-        place = F.array_position("bands", F.col("bucket")).cast("int")
-        others = F.concat(F.slice("bands", place + 1, F.lit(bands)), F.slice("bands", F.lit(1), place - 1))
-        turns = F.transform(F.sequence(F.lit(0), F.lit(max(1, (bands - 1) // TURN) - 1)), lambda t: F.struct(t.alias("turn"), F.slice("order", t * TURN + 1, F.lit(TURN)).alias("order")))
-        turned = spread.join(met, "node").select("bucket", "node", "label", others.alias("order"))
-        turned = turned.select("bucket", "node", "label", F.explode(turns).alias("t")).select("bucket", "t.turn", "t.order", "node", "label")
-        further = _ordered(around.union(_neighbours(turned))).distinct().join(tried, ["a", "b"], "left_anti")
-        further = storage.materialise(further, spark, "pairs")
-        more = verified(further, packed, threshold)
-        if more.isEmpty():
-            break
-        tried = tried.union(further)
-        links = storage.materialise(links.union(more), spark, "links")
-        labels = graph.components(links)
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    more = across(met, labels, packed, threshold)
+    if not more.isEmpty():
+        labels = graph.components(links.union(more))
+    # A class's representative is its least digest, which is its label.
+    stars = verified(labels.where(F.col("node") != F.col("label")).select(F.col("label").alias("a"), F.col("node").alias("b")), packed, threshold)
+    degree = stars.select(F.col("a").alias("node")).union(stars.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     named = nodes.join(labels, "node", "left").join(degree, "node", "left").select("node", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     named = storage.materialise(named, spark, "named")
     names = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))

@@ -545,21 +545,66 @@ def test_op9_variants_of_a_hub_are_one_class(spark):
     assert {r.class_id for r in dartminhash.classes(docs_of(spark, rows)).collect()} == {0}
 
 
-@pytest.mark.parametrize("least, most", [(1, 4), (2, 5)])
-def test_op9_dense_groups(spark, least, most):
-    """Groups of a hundred variants, of which many are near to few others: the classes of all pairs."""
-    rng = np.random.default_rng(10 * least + most)
-    rows = []
-    for g in range(3):
+def variants(groups, size, least, most, seed):
+    """Groups of texts of 200 words with some words changed."""
+    rng = np.random.default_rng(seed)
+    for g in range(groups):
         base = [f"g{g}w{i}" for i in range(200)]
-        for i in range(100):
+        for i in range(size):
             words = list(base)
             for at in rng.choice(200, rng.integers(least, most + 1), replace=False):
                 words[at] = f"v{i}x{at}"
-            rows.append((len(rows), " ".join(words)))
-    got = {r.doc_id: r.class_id for r in dartminhash.classes(docs_of(spark, rows)).collect()}
-    want = brute_classes(rows)
-    assert sum(got[i] != want[i] for i in got) <= 0.01 * len(rows), (len(set(got.values())), len(set(want.values())))
+            yield " ".join(words)
+
+
+@pytest.mark.parametrize("groups, size, least, most", [(3, 100, 1, 4), (3, 100, 2, 5), (1, 500, 2, 5)])
+def test_op9_dense_groups(spark, groups, size, least, most):
+    """Groups of variants, of which many are near to few others: the classes of all pairs, in any layout."""
+    rows = list(enumerate(variants(groups, size, least, most, 10 * least + most)))
+    df = docs_of(spark, rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        one, other = (sorted(map(tuple, dartminhash.classes(df.repartition(n)).collect())) for n in (4, 24))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert one == other
+    got, want = {r[0]: r[3] for r in one}, brute_classes(rows)
+    assert got == want
+    # Links to the representative of each class.
+    packed = {i: dartminhash._packed(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0] for i, t in rows}
+    head = {r[2]: r[0] for r in one if r[1] == r[2]}
+    near = {r[0]: dartminhash.similarity(packed[r[0]], packed[head[r[2]]]) >= 0.8 for r in one if r[1] != r[2]}
+    assert all(r[4] == near[r[0]] for r in one if r[1] != r[2])
+    assert all(r[4] == sum(near[x[0]] for x in one if x[2] == r[2] and x[1] != r[2]) for r in one if r[1] == r[2])
+
+
+def test_op9_blocks_join_what_all_pairs_join(monkeypatch):
+    """Nodes in one bucket, alone or as pairs of blocks, with repeated shingles: the components of all pairs."""
+    monkeypatch.setattr(dartminhash, "_SIDE", 20)
+    monkeypatch.setattr(dartminhash, "_CELLS", 500)
+    rng = np.random.default_rng(4)
+    texts = [t + " again and again" * int(rng.integers(0, 30)) for t in variants(2, 40, 1, 6, 7)]
+    held = [dartminhash._packed(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), 5)[0] for t in texts]
+    exact = np.array([[dartminhash.similarity(a, b) for b in held] for a in held])
+    levels = [dartminhash._levels(x) for x in held]
+    assert np.abs(dartminhash.nearness(levels, levels) - exact).max() < 1e-4
+    bands = np.stack([rng.integers(0, 2, len(held)), np.full(len(held), 77)], axis=1)
+
+    def parts(links):
+        group = list(range(len(held)))
+        for a, b in links:
+            group = [group[b] if x == group[a] else x for x in group]
+        return {frozenset(i for i, x in enumerate(group) if x == g) for g in group}
+
+    want = parts([(i, j) for i in range(len(held)) for j in range(i) if exact[i, j] >= 0.8])
+    labels, everyone = np.arange(len(held)), np.arange(len(held))
+    later = dartminhash.joined(77, everyone, everyone, labels, np.stack([everyone, bands[:, 1]], axis=1), held, 0.8)
+    assert parts(later) == want and len(later) == len(held) - len(want)
+    halves = everyone[:37], everyone[37:]
+    apart = [link for x, y in ((halves[0], halves[0]), (halves[0], halves[1]), (halves[1], halves[1])) for link in dartminhash.joined(77, x, y, labels, np.stack([everyone, bands[:, 1]], axis=1), held, 0.8)]
+    assert parts(apart) == want
+    # Pairs that share an earlier bucket are left to it.
+    assert all(bands[i, 0] != bands[j, 0] for i, j in dartminhash.joined(77, everyone, everyone, labels, bands, held, 0.8))
 
 
 def test_op9_missing_and_shared_ids_keep_unrelated_texts(spark):
