@@ -85,6 +85,7 @@ def _windows(text: str, target: int) -> Iterator[str]:
 
 def sections(text: str, target: int = 2800, least: int = 120) -> list[tuple[str, str]]:
     """(path, chunk) of a Markdown file: split at headings of levels one to four, long sections by paragraphs, fragments joined."""
+    text = text.replace("\r\n", "\n")
     marks = list(_SECTION.finditer(text))
     trail: dict[int, str] = {}
     paths = [""]

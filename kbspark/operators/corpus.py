@@ -56,9 +56,17 @@ def version_restore(feed: DataFrame, versions: DataFrame, current: DataFrame, re
 
 
 def snapshot_asof(versions: DataFrame, instants: DataFrame) -> DataFrame:
-    """For every (concept_id, as_of) the version in force then; none before the first."""
-    met = instants.join(versions, "concept_id").where(F.col("created_on") <= F.col("as_of"))
-    return met.groupBy("concept_id", "as_of").agg(F.max_by(F.struct("version_number", "title", "created_on"), F.struct("created_on", "version_number")).alias("v")).select("concept_id", "as_of", "v.*")
+    """For every (concept_id, as_of) the version in force then; none before the first.
+
+    Versions and instants are one sorted list for each concept, in which an instant
+    takes the last version before it.
+    """
+    v = F.struct("version_number", "title", "created_on")
+    made = versions.select("concept_id", F.col("created_on").alias("at"), F.col("version_number").alias("n"), v.alias("v"), F.lit(False).alias("asked"))
+    asked = instants.select("concept_id", F.col("as_of").alias("at"), F.lit(None).alias("n"), F.lit(None).alias("v"), F.lit(True).alias("asked")).distinct()
+    held = F.last("v", ignorenulls=True).over(Window.partitionBy("concept_id").orderBy("at", "asked", "n").rowsBetween(Window.unboundedPreceding, 0))
+    found = made.unionByName(asked).withColumn("held", held).where(F.col("asked") & F.col("held").isNotNull() & F.col("at").isNotNull())
+    return found.select("concept_id", F.col("at").alias("as_of"), "held.*")
 
 
 def snapshot_backfill(versions: DataFrame, current: DataFrame, metadata: list[str]) -> DataFrame:
@@ -86,24 +94,32 @@ def exact_dup_guard(creates: DataFrame, corpus: DataFrame) -> DataFrame:
 
 
 def trash_apply(concepts: DataFrame, requests: DataFrame) -> DataFrame:
-    """Trash requests (concept_id, seq, action, on) applied: the last request of each concept decides.
+    """Trash requests (concept_id, seq, action, on) applied in order: each one's outcome, and deleted_on after it.
 
-    Returns concept_id, outcome (trashed, restored, purged, or the refusals
-    not-found and not-trashed) and deleted_on after it.
+    Outcomes are trashed, restored, purged, or the refusals not-found and
+    not-trashed.  What a request finds follows from the last trash or restore before
+    it, and from whether a purge before it found the concept in the trash, so running
+    values in one order give what applying one after the other gives.
     """
-    last = requests.groupBy("concept_id").agg(F.max_by(F.struct("action", "on"), "seq").alias("r"))
     have = concepts.select(F.col("id").alias("concept_id"), F.lit(True).alias("there"), F.col("deleted_at").cast("date").alias("was"))
-    rows = last.join(have, "concept_id", "left").select("concept_id", "r.action", "r.on", F.coalesce("there", F.lit(False)).alias("there"), "was")
+    rows = requests.join(have, "concept_id", "left")
+    order = Window.partitionBy("concept_id").orderBy("seq")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    turned = F.last(F.when(F.col("action").isin("trash", "restore"), F.col("action")), ignorenulls=True).over(before)
+    rows = rows.withColumn("trashed", F.coalesce(turned == "trash", F.col("was").isNotNull()))
+    emptied = (F.col("action") == "purge") & F.col("trashed")
+    rows = rows.withColumn("gone", F.col("there").isNull() | F.coalesce(F.max(emptied).over(before), F.lit(False)))
     outcome = (
-        F.when(~F.col("there"), "not-found")
-        .when((F.col("action") == "trash") & F.col("was").isNotNull(), "not-found")
+        F.when(F.col("gone") | ((F.col("action") == "trash") & F.col("trashed")), "not-found")
         .when(F.col("action") == "trash", "trashed")
-        .when(F.col("was").isNull(), "not-trashed")
+        .when(~F.col("trashed"), "not-trashed")
         .when(F.col("action") == "restore", "restored")
         .otherwise("purged")
     )
     rows = rows.withColumn("outcome", outcome)
-    return rows.select("concept_id", "action", "outcome", F.when(F.col("outcome") == "trashed", F.col("on")).when(F.col("outcome").isin("restored", "purged"), F.lit(None)).otherwise(F.col("was")).alias("deleted_on"))
+    since = F.last(F.when(F.col("outcome") == "trashed", F.col("on")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    kept = (F.col("outcome") == "trashed") | (F.col("trashed") & ~F.col("gone") & ~F.col("outcome").isin("restored", "purged"))
+    return rows.select("concept_id", "seq", "action", "outcome", F.when(kept, F.coalesce(since, "was")).alias("deleted_on"))
 
 
 def purge_cascade(purged: DataFrame, versions: DataFrame, sources: DataFrame, attachments: DataFrame) -> DataFrame:

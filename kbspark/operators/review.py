@@ -39,11 +39,16 @@ def review_counts(items: DataFrame) -> DataFrame:
 
 
 def review_resolve(decisions: DataFrame, items: DataFrame, corpus: DataFrame) -> DataFrame:
-    """(seq, item_id, actor, action) applied: the first allowed decision on an item counts.
+    """(seq, item_id, actor, action) applied in order: the first allowed decision on an item counts.
 
     Decisions on one target follow each other in rounds, which is their place in
-    the order of the target; a changed target refuses quality items.  Returns
-    (seq, item_id, outcome, round, effect).
+    the order of the target; a target that has changed, before or by a decision of
+    the batch, refuses quality items.  Returns (seq, item_id, outcome, round, effect).
+
+    The first save of a target is the earliest allowed one whose item no decision
+    without a save had resolved before; a save before it on the same item would be
+    an earlier save of the target.  So what stands before a decision is known from
+    two minima, and none waits for another.
     """
     now = corpus.select(F.col("id").alias("target_id"), F.lit(True).alias("there"), F.col("owner_id").alias("target_owner"), fingerprint("title", "status", "body").alias("now"))
     rows = decisions.join(items.select("item_id", "owner_id", "kind", "status", "target_id", "fingerprint", F.length(F.trim("body")).alias("n_chars"), F.lit(True).alias("known")), "item_id", "left").join(now, "target_id", "left")
@@ -59,6 +64,12 @@ def review_resolve(decisions: DataFrame, items: DataFrame, corpus: DataFrame) ->
         .when((F.col("kind") == "quality_risk") & needs_target & ~F.col("fingerprint").eqNullSafe(F.col("now")), "target-changed")
     )
     rows = rows.withColumn("refusal", refusal)
+    allowed = F.col("refusal").isNull()
+    settled = F.min(F.when(allowed & ~needs_target, F.col("seq"))).over(Window.partitionBy("item_id"))
+    saves = allowed & needs_target & (F.col("settled").isNull() | (F.col("seq") < F.col("settled")))
+    changed = F.min(F.when(saves, F.col("seq"))).over(Window.partitionBy("target_id"))
+    late = allowed & needs_target & (F.col("kind") == "quality_risk") & (F.col("seq") > F.col("changed")) & (F.col("settled").isNull() | (F.col("seq") < F.col("settled")))
+    rows = rows.withColumn("settled", settled).withColumn("changed", changed).withColumn("refusal", F.when(late, "target-changed").otherwise(F.col("refusal")))
     first = F.row_number().over(Window.partitionBy("item_id", F.col("refusal").isNull()).orderBy("seq"))
     rows = rows.withColumn("n", first).withColumn("refusal", F.coalesce("refusal", F.when(F.col("n") > 1, "already-resolved")))
     effect = F.when(F.col("refusal").isNull(), F.when(F.col("action") == "keep_old", "none").when(F.col("action") == "keep_both", "create").otherwise("save"))

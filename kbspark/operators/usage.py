@@ -136,22 +136,25 @@ def budget_snapshot(calls: DataFrame, at: str) -> DataFrame:
 def admission_replay(calls: DataFrame, limits: dict | None = None) -> DataFrame:
     """(call_id, actor, verdict) of historical requests, each judged by those admitted before it.
 
-    Admission depends on earlier admissions of the same owner and day, which no
-    window expresses; rows stream through a partition in order, so that no owner's
-    day is held whole.
+    Admission depends on the owner's earlier admissions, which no window expresses;
+    rows stream through a partition in order, so that no owner is held whole.  Tokens
+    count by the day of the library's zone; leases and the last minute go on over
+    midnight.
     """
     limits = limits or CALL_LIMITS
     day = F.from_utc_timestamp("ts", ZONE).cast("date")
     rows = calls.select("call_id", "actor", day.cast("string").alias("day"), F.unix_micros("ts").alias("at"), F.unix_micros("expires_at").alias("end"), F.coalesce("actual", "reserved").alias("tokens"))
-    rows = rows.repartition("actor", "day").sortWithinPartitions("actor", "day", "at", "call_id")
+    rows = rows.repartition("actor").sortWithinPartitions("actor", "at", "call_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, kept, spent = None, [], 0
+        key, day, kept, spent = None, None, [], 0
         for part in batches:
             out = []
             for actor, d, at, end, tokens in zip(part["actor"], part["day"], part["at"], part["end"], part["tokens"], strict=True):
-                if key != (actor, d):
-                    key, kept, spent = (actor, d), [], 0
+                if key != actor:
+                    key, day, kept = actor, None, []
+                if day != d:
+                    day, spent = d, 0
                 now = at / 1e6
                 kept = [r for r in kept if r[1] > now or r[0] > now - 60]
                 verdict = admit_one(kept, spent, now, int(tokens), limits)

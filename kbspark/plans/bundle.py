@@ -16,12 +16,12 @@ def bundle_write(spark, d):
     return op.bundle_write(fx.corpus(spark, d), new_dir(spark, "bundle-files"))
 
 
-@register("bundle_read", sql("SELECT id, title, type, description, category, status, sha256(body) AS body_sha FROM corpus WHERE trim(body) <> ''"))
+@register("bundle_read", sql("SELECT id, title, type, description, category, status, array_to_string(tags, ',') AS tags, sha256(body) AS body_sha FROM corpus WHERE trim(body) <> ''"))
 def bundle_read(spark, d):
     """All live concepts, written as files and read back."""
     uri = new_dir(spark, "bundle-files")
     op.bundle_write(fx.corpus(spark, d), uri)
-    return op.bundle_read(spark, uri).where("error IS NULL").select("id", "title", "type", "description", "category", "status", F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"))
+    return op.bundle_read(spark, uri).where("error IS NULL").select("id", "title", "type", "description", "category", "status", F.array_join("tags", ",").alias("tags"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"))
 
 
 @register("bundle_manifest", sql("""

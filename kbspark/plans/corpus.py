@@ -96,21 +96,23 @@ def exact_dup_guard(spark, d):
 
 def _trash_requests(spark, d):
     rows = fx.corpus_rows(spark, d).where("id % 2 = 0 OR deleted_at IS NOT NULL")
-    one = rows.select("id", F.explode(F.array(F.lit(0), F.lit(1))).alias("k"))
+    one = rows.select("id", F.explode(F.array(*map(F.lit, range(4)))).alias("k"))
     action = "element_at(array('trash', 'restore', 'purge'), CAST((id + k) % 3 AS INT) + 1)"
-    return one.select(F.expr("CASE WHEN id % 10 = 8 THEN -id ELSE id END").alias("concept_id"), (F.col("id") * 2 + F.col("k")).alias("seq"), F.expr(action).alias("action"), F.lit("2024-01-31").cast("date").alias("on"))
+    return one.select(F.expr("CASE WHEN id % 10 = 8 THEN -id ELSE id END").alias("concept_id"), (F.col("id") * 4 + F.col("k")).alias("seq"), F.expr(action).alias("action"), F.lit("2024-01-31").cast("date").alias("on"))
 
 
 TRASH = """
-q AS (SELECT CASE WHEN id % 10 = 8 THEN -id ELSE id END AS concept_id, id * 2 + k AS seq, ['trash', 'restore', 'purge'][CAST((id + k) % 3 AS INT) + 1] AS action
-  FROM corpus_rows, (VALUES (0), (1)) AS ks(k) WHERE id % 2 = 0 OR deleted_at IS NOT NULL),
-l AS (SELECT concept_id, max_by(action, seq) AS action FROM q GROUP BY 1),
-o AS (SELECT l.*, CAST(c.deleted_at AS DATE) AS was, CASE WHEN c.id IS NULL OR (action = 'trash' AND c.deleted_at IS NOT NULL) THEN 'not-found' WHEN action = 'trash' THEN 'trashed'
-  WHEN c.deleted_at IS NULL THEN 'not-trashed' WHEN action = 'restore' THEN 'restored' ELSE 'purged' END AS outcome FROM l LEFT JOIN corpus_rows c ON c.id = l.concept_id)
+q AS (SELECT CASE WHEN id % 10 = 8 THEN -id ELSE id END AS concept_id, id * 4 + k AS seq, ['trash', 'restore', 'purge'][CAST((id + k) % 3 AS INT) + 1] AS action
+  FROM corpus_rows, (VALUES (0), (1), (2), (3)) AS ks(k) WHERE id % 2 = 0 OR deleted_at IS NOT NULL),
+h AS (SELECT q.*, CAST(c.deleted_at AS DATE) AS was, CASE WHEN c.id IS NULL THEN 'gone' WHEN c.deleted_at IS NULL THEN 'live' ELSE 'old' END AS start,
+  coalesce(list(action) OVER (PARTITION BY concept_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS done FROM q LEFT JOIN corpus_rows c ON c.id = q.concept_id),
+f AS (SELECT *, list_reduce([start] || done, lambda s, a: CASE WHEN a = 'trash' AND s = 'live' THEN 'new' WHEN a = 'restore' AND s IN ('old', 'new') THEN 'live' WHEN a = 'purge' AND s IN ('old', 'new') THEN 'gone' ELSE s END) AS state FROM h),
+o AS (SELECT concept_id, seq, action, was, state, CASE WHEN state = 'gone' OR (action = 'trash' AND state <> 'live') THEN 'not-found' WHEN action = 'trash' THEN 'trashed'
+  WHEN state = 'live' THEN 'not-trashed' WHEN action = 'restore' THEN 'restored' ELSE 'purged' END AS outcome FROM f)
 """
 
 
-@register("trash_apply", sql(f"WITH {TRASH} SELECT concept_id, action, outcome, CASE WHEN outcome = 'trashed' THEN DATE '2024-01-31' WHEN outcome IN ('restored', 'purged') THEN NULL ELSE was END AS deleted_on FROM o"))
+@register("trash_apply", sql(f"WITH {TRASH} SELECT concept_id, seq, action, outcome, CASE WHEN outcome = 'trashed' THEN DATE '2024-01-31' WHEN outcome IN ('restored', 'purged') THEN NULL WHEN state = 'old' THEN was WHEN state = 'new' THEN DATE '2024-01-31' END AS deleted_on FROM o"))
 def trash_apply(spark, d):
     return op.trash_apply(fx.corpus_rows(spark, d), _trash_requests(spark, d))
 

@@ -43,8 +43,11 @@ def review_counts(spark, d):
 @register("review_resolve", sql("""
 WITH de AS (SELECT item_id * 2 + k AS seq, CASE WHEN item_id % 13 = 0 THEN -item_id ELSE item_id END AS item_id, ['keep_old', 'adopt_new', 'merge', 'keep_both', 'other'][CAST((item_id + k) % 5 AS INT) + 1] AS action, CASE WHEN item_id % 8 = 5 THEN 'nobody' ELSE 'admin' END AS actor FROM review_pending, (VALUES (0), (1)) AS ks(k)),
 j AS (SELECT de.*, p.item_id IS NOT NULL AS known, p.kind, p.status, p.target_id, p.edited, c.id IS NOT NULL AS there FROM de LEFT JOIN review_pending p ON p.item_id = de.item_id LEFT JOIN corpus c ON c.id = p.target_id),
-r AS (SELECT *, CASE WHEN NOT known THEN 'not-found' WHEN actor <> 'admin' THEN 'out-of-scope' WHEN status = 'resolved' THEN 'already-resolved' WHEN action = 'other' OR (kind = 'quality_risk' AND action = 'keep_both') THEN 'unsupported'
+r0 AS (SELECT *, CASE WHEN NOT known THEN 'not-found' WHEN actor <> 'admin' THEN 'out-of-scope' WHEN status = 'resolved' THEN 'already-resolved' WHEN action = 'other' OR (kind = 'quality_risk' AND action = 'keep_both') THEN 'unsupported'
   WHEN action IN ('adopt_new', 'merge') AND NOT there THEN 'target-missing' WHEN kind = 'quality_risk' AND action IN ('adopt_new', 'merge') AND edited THEN 'target-changed' END AS refusal FROM j),
+s AS (SELECT *, min(CASE WHEN refusal IS NULL AND action NOT IN ('adopt_new', 'merge') THEN seq END) OVER (PARTITION BY item_id) AS settled FROM r0),
+c AS (SELECT *, min(CASE WHEN refusal IS NULL AND action IN ('adopt_new', 'merge') AND (settled IS NULL OR seq < settled) THEN seq END) OVER (PARTITION BY target_id) AS changed FROM s),
+r AS (SELECT * EXCLUDE (refusal), CASE WHEN refusal IS NULL AND kind = 'quality_risk' AND action IN ('adopt_new', 'merge') AND seq > changed AND (settled IS NULL OR seq < settled) THEN 'target-changed' ELSE refusal END AS refusal FROM c),
 n AS (SELECT *, coalesce(refusal, CASE WHEN row_number() OVER (PARTITION BY item_id, refusal IS NULL ORDER BY seq) > 1 THEN 'already-resolved' END) AS no FROM r),
 e AS (SELECT *, CASE WHEN no IS NULL THEN CASE action WHEN 'keep_old' THEN 'none' WHEN 'keep_both' THEN 'create' ELSE 'save' END END AS effect FROM n)
 SELECT seq, item_id, coalesce(no, 'resolved') AS outcome, CASE WHEN effect = 'save' THEN CAST(row_number() OVER (PARTITION BY target_id, effect = 'save' ORDER BY seq) AS INT) END AS round, effect FROM e"""))

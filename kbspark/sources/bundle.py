@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import textwrap
 import uuid
 from collections.abc import Iterator
 
@@ -23,45 +26,80 @@ ROWS = "file string, error string, id long, title string, type string, descripti
 
 def render(row: dict) -> str:
     """One concept as Markdown: header lines as JSON strings (which YAML reads), then the body as it is."""
-    import json
-
     head = {"id": row["id"], "title": row["title"], "type": row["type"], "description": row["description"], "category": row["category"], "status": row["status"], "tags": list(row["tags"] if row["tags"] is not None else []), "title_heading": "body"}
     return "---\n" + "".join(f"{k}: {json.dumps(v, ensure_ascii=False)}\n" for k, v in head.items() if v is not None) + "---\n" + row["body"]
 
 
+_HEADER = re.compile(r"---\r?\n(.*?)\r?\n---(?:\r?\n|\Z)", re.S)
+
+
+def _scalar(text: str):
+    """A value on one line: JSON, a plain list in brackets, or text with its quotes off; None for nothing."""
+    text = text.strip()
+    try:
+        return json.loads(text)
+    except ValueError:
+        pass
+    if text.startswith("[") and text.endswith("]"):
+        return [_scalar(x) for x in text[1:-1].split(",") if x.strip()]
+    if len(text) > 1 and text[0] == text[-1] == "'":
+        return text[1:-1].replace("''", "'")
+    return None if text in ("", "~", "null") else text
+
+
+def header(text: str) -> dict:
+    """The fields of a header: values of one line, lists of dashes, blocks of text, and maps of such fields one level below."""
+    lines, fields, i = text.split("\n"), {}, 0
+    while i < len(lines):
+        key, found, value = lines[i].partition(":")
+        i += 1
+        if not found or not key.strip() or key[:1] in " \t#-":
+            continue
+        inner = []
+        while i < len(lines) and (not lines[i].strip() or lines[i][0] in " \t" or lines[i].startswith("- ")):
+            inner.append(lines[i])
+            i += 1
+        key, mark = key.strip().strip("'\""), value.strip()
+        items = [x.strip() for x in inner if x.strip()]
+        if mark[:1] in ("|", ">"):
+            kept = textwrap.dedent("\n".join(inner)).rstrip("\n")
+            fields[key] = kept if mark[0] == "|" else re.sub(r"(?<!\n)\n(?!\n)", " ", kept)
+        elif not mark and items and all(x == "-" or x.startswith("- ") for x in items):
+            fields[key] = [_scalar(x[1:]) for x in items]
+        elif not mark and items:
+            fields[key] = header(textwrap.dedent("\n".join(inner)))
+        else:
+            # A plain or quoted value may go on over lines that are set in.
+            fields[key] = _scalar(" ".join([mark, *items]))
+    return fields
+
+
 def parse(text: str) -> dict:
     """The fields of a bundle file, or its error."""
-    import json
-
-    if not text.startswith("---\n") or (end := text.find("\n---\n", 3)) < 0:
+    found = _HEADER.match(text)
+    if not found:
         return {"error": "no header"}
-    fields: dict = {}
-    for line in text[4:end].split("\n"):
-        key, found, value = line.partition(":")
-        if found:
-            try:
-                fields[key.strip()] = json.loads(value)
-            except ValueError:
-                fields[key.strip()] = value.strip().strip("'\"")
-    body = text[end + 5 :]
+    fields = header(found[1].replace("\r\n", "\n"))
+    body = text[found.end() :]
     title = str(fields.get("title") or "").strip()
     if not title:
         return {"error": "no title"}
     if fields.get("status", "stable") not in STATUSES:
         return {"error": "unknown status"}
-    if fields.get("title_heading") != "body" and body.lstrip("\n").startswith(f"# {title}\n"):
+    layout = fields.get("title_heading") or (fields["kb"].get("title_heading") if isinstance(fields.get("kb"), dict) else None)
+    if layout != "body" and body.lstrip("\n").startswith(f"# {title}\n"):
         body = body.lstrip("\n")[len(title) + 3 :].lstrip("\n")
     if not body.strip():
         return {"error": "empty body"}
     tags = fields.get("tags") or []
-    out = {"id": fields.get("id"), "title": title, "status": fields.get("status", "stable"), "tags": [str(t) for t in tags][:MAX_TAGS] if isinstance(tags, list) else [], "body": body}
+    out = {"id": fields.get("id"), "title": title, "status": fields.get("status", "stable"), "tags": [str(t).strip() for t in tags if t is not None and str(t).strip()][:MAX_TAGS] if isinstance(tags, list) else [], "body": body}
     return out | {k: (str(fields[k])[:n] if fields.get(k) is not None else None) for k, n in CLAMPS.items()}
 
 
 def slug(title: str, key: str) -> str:
     """A file name: letters and digits of the title joined by hyphens, and part of the key."""
     words = "".join(c.lower() if c.isalnum() else " " for c in title).split()
-    return f"{'-'.join(words)[:60] or 'untitled'}-{key[:8]}.md"
+    return f"{'-'.join(words)[:60] or 'untitled'}-{key[:32]}.md"
 
 
 def folder(kind: str) -> str:
@@ -94,7 +132,7 @@ def bundle_write(corpus: DataFrame, uri: str) -> DataFrame:
                 out.append((row["id"], path, len(data)))
             yield pd.DataFrame(out, columns=["id", "path", "n_bytes"])
 
-    key = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 8)
+    key = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 32)
     rows = corpus.select("id", "title", "type", "description", "category", "status", "tags", "body", key.alias("key"))
     return materialise(rows.mapInPandas(run, "id long, path string, n_bytes long"), "bundle")
 

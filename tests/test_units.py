@@ -12,7 +12,8 @@ from kbspark.functions import text as T
 from kbspark.functions.markdown import chunks, headings, sections
 from kbspark.functions import words
 from kbspark.functions.words import Grams, trigram_list, word_similarity
-from kbspark.operators import evidence, folders, links, search, usage, vectors
+from kbspark.operators import corpus, evidence, folders, links, review, search, usage, vectors
+from kbspark.operators.curate import fingerprint
 from kbspark.sources import bundle
 
 
@@ -256,3 +257,105 @@ def test_plans_have_no_cartesian_product(spark, sf_dir):
     for name in ("bm25f_search", "term_postings", "backlinks", "link_dangling", "category_tree"):
         plan = registry.queries()[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan, name
+
+
+def test_admission_goes_on_over_midnight(spark):
+    """15:59:50 UTC is the last minute of a day in Shanghai."""
+    calls = [(1, "15:59:50", 130), (2, "15:59:55", 125), (3, "15:59:58", 100), (4, "16:00:01", 100), (5, "16:02:01", 60)]
+    rows = [(i, 7, f"2024-01-01 {at}", life, 100, None) for i, at, life in calls]
+    df = spark.createDataFrame(rows, "call_id long, actor long, at string, life int, reserved long, actual long").withColumn("ts", F.to_timestamp("at"))
+    df = df.withColumn("expires_at", F.expr("ts + make_interval(0, 0, 0, 0, 0, 0, life)"))
+    limits = {"active": 2, "minute": 100, "day_tokens": 200}
+    got = {r.call_id: r.verdict for r in usage.admission_replay(df, limits).collect()}
+    assert got == {1: "admitted", 2: "admitted", 3: "active", 4: "active", 5: "admitted"}
+
+
+def test_crlf_is_a_line_end():
+    assert sections("# A\r\n" + "a" * 200 + "\r\n## B\r\n" + "b" * 200) == sections("# A\n" + "a" * 200 + "\n## B\n" + "b" * 200)
+    assert [p for p, _ in sections("# A\r\n" + "a" * 200 + "\r\n## B\r\n" + "b" * 200)] == ["A", "A > B"]
+
+
+def test_bundle_headers_as_they_are_exported():
+    text = "---\ntype: Note\ntitle: 'It''s: a title'\ntags:\n  - one\n  - \"two: three\"\n  -  \n- four\nstatus: draft\ndescription: |-\n  first\n  second\ncategory: a/b\nkb:\n  title_heading: body\n  tags:\n    - no\n---\n\n# It's: a title\n\nbody\n"
+    for end in ("\n", "\r\n"):
+        got = bundle.parse(text.replace("\n", end))
+        assert got["tags"] == ["one", "two: three", "four"] and got["title"] == "It's: a title" and got["status"] == "draft"
+        assert got["description"] == "first\nsecond" and got["category"] == "a/b" and "# It's" in got["body"]
+    assert bundle.parse("---\ntitle: a\ntags: [x, 'y z']\ndescription: >-\n  folded\n  text\n\n  apart\n---\nb")["tags"] == ["x", "y z"]
+    assert bundle.header("a: >-\n  folded\n  text\n\n  apart")["a"].startswith("folded text") and bundle.header("d: some text\n  goes on") == {"d": "some text goes on"}
+    assert bundle.parse(bundle.render({"id": 1, "title": "t: \"x\"", "type": "Note", "description": None, "category": "c", "status": "stable", "tags": ["a, b", "c"], "body": "b"}))["tags"] == ["a, b", "c"]
+
+
+def test_trash_requests_in_order(spark):
+    rng = random.Random(5)
+    asked = [(i, s, rng.choice(["trash", "restore", "purge"]), f"2024-02-{s + 1:02}") for i in range(40) for s in range(6)]
+    start = {i: rng.choice([None, "2024-01-05"]) for i in range(35)}
+    concepts = spark.createDataFrame(list(start.items()), "id long, d string").withColumn("deleted_at", F.to_timestamp("d"))
+    requests = spark.createDataFrame(asked, "concept_id long, seq int, action string, on string").withColumn("on", F.col("on").cast("date"))
+    got = {(r.concept_id, r.seq): (r.outcome, str(r.deleted_on) if r.deleted_on else None) for r in corpus.trash_apply(concepts, requests).collect()}
+    state, want = dict(start), {}
+    for i, s, action, on in asked:
+        if i not in state or (action == "trash" and state[i]):
+            outcome = "not-found"
+        elif action == "trash":
+            outcome, state[i] = "trashed", on
+        elif not state[i]:
+            outcome = "not-trashed"
+        else:
+            outcome = action + {"restore": "d", "purge": "d"}[action]
+            state[i] = None
+            if action == "purge":
+                del state[i]
+        want[i, s] = (outcome, state.get(i))
+    assert got == want
+
+
+def test_review_decisions_in_order(spark):
+    rng = random.Random(6)
+    texts = [(t, "o", f"t{t}", "stable", "body") for t in range(4)]
+    live = spark.createDataFrame(texts, "id long, owner_id string, title string, status string, body string")
+    prints = {r.id: r.f for r in live.select("id", fingerprint("title", "status", "body").alias("f")).collect()}
+    items = [(i, "o", rng.choice(["quality_risk", "conflict"]), "pending", rng.choice([0, 1, 2, 3, 99]), "text") for i in range(40)]
+    items = [(*x, prints.get(x[4]) if rng.random() < 0.8 else "other") for x in items]
+    decisions = [(s, rng.randrange(40), "o", rng.choice(["keep_old", "adopt_new", "merge", "keep_both"])) for s in range(150)]
+    got = {r.seq: r.outcome for r in review.review_resolve(spark.createDataFrame(decisions, "seq long, item_id long, actor string, action string"), spark.createDataFrame(items, "item_id long, owner_id string, kind string, status string, target_id long, body string, fingerprint string"), live).collect()}
+    done, changed, want = set(), set(), {}
+    for s, i, _, action in decisions:
+        _, _, kind, _, target, _, seen = items[i]
+        save = action in ("adopt_new", "merge")
+        if i in done and not (kind == "quality_risk" and action == "keep_both") and not (save and (target not in prints or (kind == "quality_risk" and seen != prints[target]))):
+            want[s] = "already-resolved"
+        elif kind == "quality_risk" and action == "keep_both":
+            want[s] = "unsupported"
+        elif save and target not in prints:
+            want[s] = "target-missing"
+        elif save and kind == "quality_risk" and (seen != prints[target] or target in changed):
+            want[s] = "target-changed"
+        else:
+            want[s] = "resolved"
+            done.add(i)
+            changed |= {target} if save else set()
+    wrong = {s: (got[s], want[s]) for s in want if got[s] != want[s] and not (want[s] == "already-resolved" and got[s] == "target-changed")}
+    assert not wrong and sum(o == "target-changed" for o in got.values()) > 3
+    assert {s for s, o in got.items() if o == "resolved"} == {s for s, o in want.items() if o == "resolved"}
+
+
+def test_instants_and_sections_take_what_stands_before(spark):
+    versions = spark.createDataFrame([(1, 1, "a", "2024-01-02"), (1, 2, "b", "2024-01-02"), (1, 3, "c", "2024-01-05"), (2, 1, "x", "2024-01-09")], "concept_id long, version_number int, title string, d string").withColumn("created_on", F.col("d").cast("date")).drop("d")
+    instants = spark.createDataFrame([(1, "2024-01-01"), (1, "2024-01-02"), (1, "2024-01-04"), (1, "2024-01-05"), (1, "2024-01-05"), (2, "2024-01-08"), (3, "2024-01-08")], "concept_id long, d string").withColumn("as_of", F.col("d").cast("date")).drop("d")
+    assert sorted((r.concept_id, str(r.as_of), r.version_number) for r in corpus.snapshot_asof(versions, instants).collect()) == [(1, "2024-01-02", 2), (1, "2024-01-04", 2), (1, "2024-01-05", 3)]
+    heads = [(1, 5, 1, "A"), (1, 10, 3, "deep"), (1, 20, 2, "B"), (1, 30, 2, "C"), (1, 40, 1, "D"), (1, 50, 6, "six")]
+    index = spark.createDataFrame(heads, "id long, offset int, level int, text string")
+    anchors = spark.createDataFrame([(1, a) for a in (0, 5, 12, 20, 35, 45, 60)] + [(2, 3)], "id long, anchor int")
+    assert {(r.id, r.anchor): r.section for r in links.section_label(anchors, index).collect()} == {(1, 0): None, (1, 5): "A", (1, 12): "A > deep", (1, 20): "A > B", (1, 35): "A > C", (1, 45): "D", (1, 60): "D > six", (2, 3): None}
+
+
+def test_filters_admit_what_they_ask_for(spark):
+    rng = random.Random(7)
+    some = lambda values: rng.choice([*values, None])
+    rows = [(i, rng.sample(["a", "b", "c"], rng.randrange(4)) if i % 9 else None, some(["x", "x/y", "x/y/z", "xy", "x//y", ""]), some(["stable", "draft"]), some(["Note", "note", "Other"])) for i in range(120)]
+    asked = [(i, rng.sample(["a", "b", "q"], rng.choice([0, 0, 1, 2])), some(["x", "x/y", "x/", "nowhere"]), some(["draft"]), some(["NOTE"])) for i in range(60)]
+    shape = "tags array<string>, category string, status string, type string"
+    got = search.filter_apply(spark.createDataFrame(asked, f"query_id long, {shape}"), spark.createDataFrame(rows, f"id long, {shape}")).collect()
+    fits = lambda q, r: set(q[1]) <= set(r[1] or ()) and (q[2] is None or (r[2] is not None and (r[2] == q[2] or r[2].startswith(q[2] + "/")))) and (q[3] is None or r[3] == q[3]) and (q[4] is None or (r[4] or "").lower() == q[4].lower())
+    assert sorted(map(tuple, got)) == sorted((q[0], r[0]) for q in asked if q[1] or any(q[2:]) for r in rows if fits(q, r))
