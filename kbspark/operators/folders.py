@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def normal_path(path: Column) -> Column:
     """Split at slashes, trim, drop empties, join again; null if nothing is left."""
@@ -61,6 +65,40 @@ def folder_move(concepts: DataFrame, folders: DataFrame, moves: DataFrame) -> tu
     return judged.select("move_id", "verdict"), moved
 
 
+def folder_move_ordered(concepts: DataFrame, folders: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Moves (move_id, seq, owner_id, source, target) applied one after the other: chains, swaps, and moves of what was moved.
+
+    Returns (move_id, verdict) as of the move's turn, and the concepts (id, category)
+    whose category is another in the end.  The rewrites are composed over the distinct
+    paths, in as many rounds as the owner with most moves has: a round takes one move
+    of each owner.  Concepts meet the composed rewrite once.
+    """
+    kept = concepts.select("id", "owner_id", normal_path(F.col("category")).alias("was")).where("was IS NOT NULL")
+    paths = kept.select("owner_id", "was").union(folders.select("owner_id", normal_path(F.col("path")))).where("was IS NOT NULL").distinct()
+    asked = moves.select("move_id", "owner_id", normal_path(F.col("source")).alias("source"), normal_path(F.col("target")).alias("target"), F.row_number().over(Window.partitionBy("owner_id").orderBy("seq", "move_id")).alias("turn"))
+    asked = materialise(asked, "moves")
+    paths = materialise(paths.join(asked.select("owner_id").distinct(), "owner_id", "left_semi").withColumn("path", F.col("was")), "paths")
+    under = lambda path, top: (F.col(path) == F.col(top)) | F.startswith(path, F.concat(top, F.lit("/")))
+    judged = []
+    for turn in range(1, (asked.agg(F.max("turn")).first()[0] or 0) + 1):
+        move = asked.where(F.col("turn") == turn).drop("turn")
+        there = paths.join(move.select("owner_id", "source", "target"), "owner_id").groupBy("owner_id").agg(F.max(under("path", "source")).alias("present"), F.max(under("path", "target")).alias("taken"))
+        verdict = (
+            F.when(F.col("source").isNull() | F.col("target").isNull(), "empty")
+            .when(under("target", "source"), "into-itself")
+            .when(F.col("taken"), "occupied")
+            .when(~F.coalesce("present", F.lit(False)), "absent")
+            .otherwise("moved")
+        )
+        move = materialise(move.join(there, "owner_id", "left").withColumn("verdict", verdict).select("move_id", "owner_id", "source", "target", "verdict"), "moves")
+        judged.append(move.select("move_id", "verdict"))
+        good = move.where("verdict = 'moved'").select("owner_id", "source", "target")
+        to = F.when(F.col("source").isNotNull() & under("path", "source"), F.concat("target", F.expr("substring(path, length(source) + 1)"))).otherwise(F.col("path"))
+        paths = materialise(paths.join(good, "owner_id", "left").select("owner_id", "was", to.alias("path")), "paths")
+    verdicts = reduce(DataFrame.unionByName, judged) if judged else asked.select("move_id", F.lit(None).cast("string").alias("verdict"))
+    return verdicts, kept.join(paths.where("path <> was"), ["owner_id", "was"]).select("id", F.col("path").alias("category"))
+
+
 def folder_delete(concepts: DataFrame, deletions: DataFrame) -> DataFrame:
     """Live concepts below a deleted (owner_id, path) lose their category; all rows come back as (id, category)."""
     gone = deletions.select("owner_id", normal_path(F.col("path")).alias("prefix")).distinct()

@@ -196,6 +196,35 @@ def folder_move(spark, d):
     return judged.join(rows, ["owner_id", "root"], "left").select("move_id", "verdict", F.coalesce("n", F.lit(0)).alias("n_moved"), F.coalesce("least", F.lit("")).alias("least"))
 
 
+#: A swap over a third path, a taken target, a chain, a move into itself, and one of what is no longer there.
+ORDERED = [("en", "tmp"), ("fr", "en"), ("tmp", "fr"), ("de", "fr"), ("fr", "deep / er"), ("deep", "deep/er/x"), ("tmp", "y"), ("deep/er", "tmp")]
+
+
+@register("folder_move_ordered", f"""
+WITH RECURSIVE live AS (SELECT doc_id AS id, source AS owner_id, concat_ws('/', lang, source) AS was FROM documents WHERE text IS NOT NULL AND doc_id % 37 <> 0),
+u AS (SELECT DISTINCT source AS owner_id FROM documents WHERE source IS NOT NULL),
+m AS (SELECT owner_id, k AS turn, replace(s, ' ', '') AS source, replace(t, ' ', '') AS target FROM u, (VALUES {", ".join(f"({i + 1}, '{a}', '{b}')" for i, (a, b) in enumerate(ORDERED))}) AS v(k, s, t)),
+p AS (SELECT owner_id, was FROM live UNION SELECT source, lang || '/' || source || '/empty' FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL),
+r AS (SELECT owner_id, was, was AS path, 0 AS turn, '' AS verdict FROM p WHERE owner_id IS NOT NULL
+  UNION ALL SELECT owner_id, was, CASE WHEN verdict = 'moved' AND (path = source OR starts_with(path, source || '/')) THEN target || substr(path, length(source) + 1) ELSE path END, turn, verdict FROM (
+    SELECT r.owner_id, r.was, r.path, m.turn, m.source, m.target, CASE WHEN m.target = m.source OR starts_with(m.target, m.source || '/') THEN 'into-itself'
+      WHEN max(r.path = m.target OR starts_with(r.path, m.target || '/')) OVER (PARTITION BY r.owner_id) THEN 'occupied'
+      WHEN NOT max(r.path = m.source OR starts_with(r.path, m.source || '/')) OVER (PARTITION BY r.owner_id) THEN 'absent' ELSE 'moved' END AS verdict
+    FROM r JOIN m ON m.owner_id = r.owner_id AND m.turn = r.turn + 1)),
+v AS (SELECT owner_id, string_agg(DISTINCT turn || ':' || verdict, ' ' ORDER BY turn || ':' || verdict) AS verdicts FROM r WHERE turn > 0 GROUP BY owner_id),
+e AS (SELECT l.id, l.owner_id, r.path FROM live l JOIN r ON r.owner_id = l.owner_id AND r.was = l.was AND r.turn = {len(ORDERED)} AND r.path <> r.was)
+SELECT v.owner_id, verdicts, count(e.id) AS n_moved, coalesce(string_agg(e.id || '=' || e.path, ',' ORDER BY e.id), '') AS moved FROM v LEFT JOIN e USING (owner_id) GROUP BY 1, 2""")
+def folder_move_ordered(spark, d):
+    """A batch of moves that touch each other, for every owner."""
+    batch = F.array(*(F.struct(F.lit(i + 1).alias("seq"), F.lit(a).alias("source"), F.lit(b).alias("target")) for i, (a, b) in enumerate(ORDERED)))
+    moves = fx.users(spark, d).select(F.col("user_id").alias("owner_id"), F.explode(batch).alias("m")).select(F.concat_ws("/", "owner_id", "m.seq").alias("move_id"), "owner_id", "m.*")
+    concepts = fx.corpus(spark, d)
+    verdicts, moved = tree.folder_move_ordered(concepts, fx.folders(spark, d), moves)
+    told = verdicts.join(moves, "move_id").groupBy("owner_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "seq", "verdict"))), " ").alias("verdicts"))
+    ends = moved.join(concepts.select("id", "owner_id"), "id").groupBy("owner_id").agg(F.count(F.lit(1)).alias("n_moved"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "category"))), lambda x: F.concat_ws("=", x["id"], x["category"])), ",").alias("moved"))
+    return told.join(ends, "owner_id", "left").select("owner_id", "verdicts", F.coalesce("n_moved", F.lit(0)).alias("n_moved"), F.coalesce("moved", F.lit("")).alias("moved"))
+
+
 @register("folder_delete", sql("""SELECT id, CASE WHEN deleted_at IS NULL AND (category = 'fr' OR starts_with(category, 'fr/')) THEN NULL ELSE category END AS category FROM corpus_rows"""))
 def folder_delete(spark, d):
     gone = fx.users(spark, d).select(F.col("user_id").alias("owner_id"), F.lit("fr").alias("path"))

@@ -359,3 +359,35 @@ def test_filters_admit_what_they_ask_for(spark):
     got = search.filter_apply(spark.createDataFrame(asked, f"query_id long, {shape}"), spark.createDataFrame(rows, f"id long, {shape}")).collect()
     fits = lambda q, r: set(q[1]) <= set(r[1] or ()) and (q[2] is None or (r[2] is not None and (r[2] == q[2] or r[2].startswith(q[2] + "/")))) and (q[3] is None or r[3] == q[3]) and (q[4] is None or (r[4] or "").lower() == q[4].lower())
     assert sorted(map(tuple, got)) == sorted((q[0], r[0]) for q in asked if q[1] or any(q[2:]) for r in rows if fits(q, r))
+
+
+def test_folder_moves_in_order(spark):
+    rng = random.Random(9)
+    names = ["a", "a/b", "a/b/c", "b", "c", "c/d", "x", "x/y"]
+    have = [(i, rng.choice("pq"), rng.choice([*names, None, " c / d "])) for i in range(40)]
+    empty = [("p", "e/f"), ("q", "b")]
+    asked = [(f"{o}{n}", n, o, rng.choice([*names, "e", ""]), rng.choice([*names, "n", "n/m", "f"])) for o in "pq" for n in range(12)]
+    got, moved = folders.folder_move_ordered(spark.createDataFrame(have, "id long, owner_id string, category string"), spark.createDataFrame(empty, "owner_id string, path string"), spark.createDataFrame(asked, "move_id string, seq int, owner_id string, source string, target string"))
+    norm = lambda c: "/".join(x.strip() for x in (c or "").split("/") if x.strip())
+    now, spare, want = {i: norm(c) for i, _, c in have}, {k: list(v) for k, v in enumerate(empty)}, {}
+    under = lambda path, top: path == top or path.startswith(top + "/")
+    for m, _, o, source, target in asked:
+        mine = [c for i, p, _ in have if p == o and (c := now[i])] + [c for p, c in spare.values() if p == o]
+        if not source or not target:
+            want[m] = "empty"
+        elif under(target, source):
+            want[m] = "into-itself"
+        elif any(under(c, target) for c in mine):
+            want[m] = "occupied"
+        elif not any(under(c, source) for c in mine):
+            want[m] = "absent"
+        else:
+            want[m] = "moved"
+            for i, p, _ in have:
+                if p == o and now[i] and under(now[i], source):
+                    now[i] = target + now[i][len(source) :]
+            for x in spare.values():
+                if x[0] == o and under(x[1], source):
+                    x[1] = target + x[1][len(source) :]
+    assert {r.move_id: r.verdict for r in got.collect()} == want and sum(v == "moved" for v in want.values()) > 3
+    assert {r.id: r.category for r in moved.collect()} == {i: now[i] for i, _, c in have if now[i] != norm(c)}
