@@ -209,6 +209,22 @@ def test_ann_recall(spark, sf_dir):
     assert near.intersect(exact).count() / exact.count() >= 0.9
 
 
+def test_ann_looks_into_few_cells_where_vectors_cluster(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((50, 24))
+    x = (centres[rng.integers(0, 50, 6000)] + 0.25 * rng.standard_normal((6000, 24))).astype(np.float32)
+    rows = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "vec_id long, concept_id long, embedding array<float>")
+    asked = rows.where("vec_id % 40 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    exact = vectors.vector_topk(asked, rows, 10).select("query_id", "vec_id")
+    near = vectors.vector_topk_ann(asked, rows, 10)
+    assert near.select("query_id", "vec_id").intersect(exact).count() >= 0.9 * exact.count()
+    assert near.where("place = 1 AND query_id <> vec_id").isEmpty() and near.groupBy("query_id").count().where("count <> 10").isEmpty()
+    held, wanted = vectors.ann_cells(asked, rows, 10)
+    pairs = held.groupBy("cell").count().join(wanted.groupBy("cell").agg(F.count("*").alias("n")), "cell").agg(F.sum(F.col("count") * F.col("n"))).first()[0]
+    assert pairs < 0.1 * 6000 * 150, pairs
+    assert vectors.vector_topk_ann(asked.where("false"), rows, 10).count() == 0 and vectors.vector_topk_ann(asked, rows.where("false"), 10).count() == 0
+
+
 def test_paths(spark):
     assert col(spark, " a / b ", folders.normal_path) == "a/b" and col(spark, " / ", folders.normal_path) is None
     assert col(spark, "a/b/c", folders.prefixes) == ["a", "a/b", "a/b/c"]
