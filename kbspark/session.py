@@ -49,9 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
         else:
             root = "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
             spark.sparkContext.setCheckpointDir(root)
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + os.path.abspath(root)
-    return root
+    return qualified(spark, root)
+
+
+def qualified(spark: SparkSession, root: str) -> str:
+    """A folder as a URI: a plain path is one of the cluster's default file system, as Hadoop takes it."""
+    if "://" in root or root.startswith("file:"):
+        return root
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

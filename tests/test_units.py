@@ -407,3 +407,18 @@ def test_folder_moves_in_order(spark):
                     x[1] = target + x[1][len(source) :]
     assert {r.move_id: r.verdict for r in got.collect()} == want and sum(v == "moved" for v in want.values()) > 3
     assert {r.id: r.category for r in moved.collect()} == {i: now[i] for i, _, c in have if now[i] != norm(c)}
+
+
+def test_a_plain_checkpoint_path_is_of_the_default_file_system(spark, tmp_path):
+    from kbspark import session
+
+    hadoop = spark._jsc.hadoopConfiguration()
+    default = hadoop.get("fs.defaultFS")
+    assert session.qualified(spark, str(tmp_path)) == f"file:{tmp_path}" and session.qualified(spark, "hdfs://x/y") == "hdfs://x/y"
+    try:
+        hadoop.set("fs.viewfs.mounttable.m.link./in", f"file://{tmp_path}")
+        hadoop.set("fs.defaultFS", "viewfs://m/")
+        assert session.qualified(spark, "/in/x") == "viewfs://m/in/x"
+    finally:
+        hadoop.set("fs.defaultFS", default)
+    assert session.read_part(session.shared_parts(spark.range(3), "x", 1)[0]).num_rows == 3
