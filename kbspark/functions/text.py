@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,3 +72,22 @@ UNICODE_SPACE = r"(?U)\s+"
 def squeezed(text: Column) -> Column:
     """White space as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, UNICODE_SPACE, " "))
+
+
+def common_lines(old: str, new: str) -> tuple[int, int, int, int]:
+    """Lines of two texts, and how many they share: in the same order, and in any order.
+
+    The longest common subsequence as one bit for each line of ``old``: a step for
+    each line of ``new`` changes all of them by an addition, so texts need no limit.
+    """
+    a, b = old.split("\n") if old else [], new.split("\n") if new else []
+    at: dict[str, int] = {}
+    for i, line in enumerate(a):
+        at[line] = at.get(line, 0) | 1 << i
+    full = (1 << len(a)) - 1
+    row = full
+    for line in b:
+        hit = row & at.get(line, 0)
+        row = ((row + hit) | (row - hit)) & full
+    ordered = len(a) - row.bit_count()
+    return len(a), len(b), ordered, (Counter(a) & Counter(b)).total()

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import common_lines
+
 
 def content_hash(body: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(body.cast("binary"), 256))
@@ -122,13 +127,20 @@ def trash_apply(concepts: DataFrame, requests: DataFrame) -> DataFrame:
     return rows.select("concept_id", "seq", "action", "outcome", F.when(kept, F.coalesce(since, "was")).alias("deleted_on"))
 
 
-def purge_cascade(purged: DataFrame, versions: DataFrame, sources: DataFrame, attachments: DataFrame) -> DataFrame:
-    """What a purge does to each dependent table: (part, key, action)."""
+def purge_cascade(purged: DataFrame, versions: DataFrame, sources: DataFrame, attachments: DataFrame, chunks: DataFrame, reviews: DataFrame) -> DataFrame:
+    """What a purge does to each dependent table: (part, key, action).
+
+    Versions, files and chunks (concept_id, chunk_id) go with the concept; its sources,
+    and review items (item_id, target_id, resolved_id) that point to it, stay and lose it.
+    """
     ids = purged.select("concept_id").distinct()
     gone = versions.join(ids, "concept_id", "left_semi").select(F.lit("version").alias("part"), F.concat_ws(":", "concept_id", "version_number").alias("key"), F.lit("delete").alias("action"))
     files = attachments.join(ids, "concept_id", "left_semi").select(F.lit("attachment").alias("part"), F.col("storage_key").alias("key"), F.lit("delete").alias("action"))
     kept = sources.join(ids, "concept_id", "left_semi").select(F.lit("source").alias("part"), F.concat_ws(":", "concept_id", "content_hash").alias("key"), F.lit("unlink").alias("action"))
-    return gone.unionByName(files).unionByName(kept)
+    cut = chunks.join(ids, "concept_id", "left_semi").select(F.lit("chunk").alias("part"), F.col("chunk_id").cast("string").alias("key"), F.lit("delete").alias("action"))
+    points = reviews.select("item_id", F.explode(F.create_map(F.lit("target"), F.col("target_id"), F.lit("resolved"), F.col("resolved_id"))).alias("role", "concept_id"))
+    lost = points.join(ids, "concept_id", "left_semi").select(F.concat(F.lit("review-"), "role").alias("part"), F.col("item_id").cast("string").alias("key"), F.lit("unlink").alias("action"))
+    return gone.unionByName(files).unionByName(kept).unionByName(cut).unionByName(lost)
 
 
 def trash_list(concepts: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
@@ -150,6 +162,31 @@ def version_churn(versions: DataFrame) -> DataFrame:
     return sums.withColumn("churn", F.round((F.col("added") + F.col("removed")) / total, 4))
 
 
+def version_diff(versions: DataFrame, current: DataFrame) -> DataFrame:
+    """Each version (concept_id, version_number, body) against its concept as it is now (concept_id, body): lines added, removed, kept and moved.
+
+    ``kept`` is the longest run of lines that both have in the same order, so a line
+    that only changed its place counts as removed and added; ``moved`` says how many
+    did.  An empty or null body has no lines; a concept that is gone gives no rows.
+    """
+    now = current.select("concept_id", F.coalesce("body", F.lit("")).alias("new"))
+    pairs = versions.select("concept_id", "version_number", F.coalesce("body", F.lit("")).alias("old")).join(now, "concept_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [common_lines(a, b) for a, b in zip(batch.column("old").to_pylist(), batch.column("new").to_pylist(), strict=True)]
+            counts = [pa.array([x[i] for x in found], pa.int32()) for i in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("concept_id"), batch.column("version_number"), *counts], names=["concept_id", "version_number", "n_old", "n_new", "kept", "shared"])
+
+    kinds = dict(pairs.dtypes)
+    # Equal bodies need no comparison.
+    other = pairs.where("old <> new").mapInArrow(compare, f"concept_id {kinds['concept_id']}, version_number {kinds['version_number']}, n_old int, n_new int, kept int, shared int")
+    n = F.when(F.col("old") == "", 0).otherwise(F.size(F.split("old", "\n"))).cast("int")
+    same = pairs.where("old = new").select("concept_id", "version_number", n.alias("n_old"), n.alias("n_new"), n.alias("kept"), n.alias("shared"))
+    rows = other.unionByName(same)
+    return rows.select("concept_id", "version_number", (F.col("n_new") - F.col("kept")).alias("added"), (F.col("n_old") - F.col("kept")).alias("removed"), "kept", (F.col("shared") - F.col("kept")).alias("moved"))
+
+
 def in_subtree(category: Column, path: Column) -> Column:
     return (category == path) | F.startswith(category, F.concat(path, F.lit("/")))
 

@@ -120,11 +120,16 @@ def trash_apply(spark, d):
 @register("purge_cascade", sql(f"""WITH {TRASH}, p AS (SELECT concept_id FROM o WHERE outcome = 'purged')
 SELECT 'version' AS part, concept_id || ':' || version_number AS key, 'delete' AS action FROM versions WHERE concept_id IN (SELECT concept_id FROM p)
 UNION ALL SELECT 'attachment', storage_key, 'delete' FROM attachments WHERE concept_id IN (SELECT concept_id FROM p)
-UNION ALL SELECT DISTINCT 'source', concept_id || ':sha256:' || sha256(body), 'unlink' FROM save_feed WHERE concept_id IN (SELECT concept_id FROM p)"""))
+UNION ALL SELECT DISTINCT 'source', concept_id || ':sha256:' || sha256(body), 'unlink' FROM save_feed WHERE concept_id IN (SELECT concept_id FROM p)
+UNION ALL SELECT 'chunk', CAST(vec_id AS VARCHAR), 'delete' FROM chunk_vectors WHERE concept_id IN (SELECT concept_id FROM p)
+UNION ALL SELECT 'review-target', CAST(id AS VARCHAR), 'unlink' FROM corpus_rows WHERE id % 4 <> 0 AND id + 1 IN (SELECT concept_id FROM p)
+UNION ALL SELECT 'review-resolved', CAST(id AS VARCHAR), 'unlink' FROM corpus_rows WHERE id % 5 = 0 AND id + 2 IN (SELECT concept_id FROM p)"""))
 def purge_cascade(spark, d):
     purged = op.trash_apply(fx.corpus_rows(spark, d), _trash_requests(spark, d)).where("outcome = 'purged'")
     sources = _feed(spark, d).select("concept_id", op.content_hash(F.col("body")).alias("content_hash")).distinct()
-    return op.purge_cascade(purged, fx.versions(spark, d), sources, fx.attachments(spark, d))
+    chunks = fx.chunk_vectors(spark, d).select("concept_id", F.col("vec_id").alias("chunk_id"))
+    reviews = fx.corpus_rows(spark, d).selectExpr("id AS item_id", "CASE WHEN id % 4 <> 0 THEN id + 1 END AS target_id", "CASE WHEN id % 5 = 0 THEN id + 2 END AS resolved_id")
+    return op.purge_cascade(purged, fx.versions(spark, d), sources, fx.attachments(spark, d), chunks, reviews)
 
 
 @register("trash_list", sql("SELECT id, owner_id, title, CAST(deleted_at AS DATE) AS deleted_on FROM corpus_rows WHERE deleted_at IS NOT NULL ORDER BY deleted_at DESC, id LIMIT 50"))
@@ -142,6 +147,19 @@ def version_churn(spark, d):
     return op.version_churn(fx.versions(spark, d))
 
 
+@register("version_diff", sql("""
+WITH p AS (SELECT a.concept_id, a.version_number, a.body AS old, b.body AS new FROM versions a JOIN corpus c ON c.id = a.concept_id JOIN versions b ON b.concept_id = c.id AND b.version_number = c.current_version),
+l AS (SELECT *, CASE WHEN old = '' THEN []::VARCHAR[] ELSE string_split(old, chr(10)) END AS x, CASE WHEN new = '' THEN []::VARCHAR[] ELSE string_split(new, chr(10)) END AS y FROM p),
+k AS (SELECT *, CASE WHEN old = new OR old = '' THEN len(x) ELSE len(x) - 1 + CAST(list_contains(y[len(x):], x[-1]) AS INT) END AS kept FROM l)
+SELECT concept_id, version_number, CAST(len(y) - kept AS INT) AS added, CAST(len(x) - kept AS INT) AS removed, CAST(kept AS INT) AS kept,
+  0 AS moved FROM k"""))
+def version_diff(spark, d):
+    """An old version is the whole body or its first half, so only the last of its lines can be another than the new body's."""
+    versions = fx.versions(spark, d)
+    current = fx.corpus(spark, d).select(F.col("id").alias("concept_id"), F.col("current_version").alias("version_number")).join(versions, ["concept_id", "version_number"])
+    return op.version_diff(versions, current)
+
+
 @register("concept_list", sql("SELECT id, title, category, status, CAST(updated_at AS DATE) AS updated_on FROM corpus WHERE status = 'stable' AND (category = 'en' OR starts_with(category, 'en/')) ORDER BY updated_at DESC, id LIMIT 50"))
 def concept_list(spark, d):
     return op.concept_list(fx.corpus(spark, d), "stable", "en")
