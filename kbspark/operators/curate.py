@@ -13,10 +13,12 @@ from ..functions.markdown import sections
 
 
 def dup_groups(corpus: DataFrame) -> DataFrame:
-    """(content_hash, n, ids): live concepts that share a body."""
-    shared = corpus.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    rows = corpus.select("content_hash", "id", "title").join(shared, "content_hash")
-    return rows.groupBy("content_hash", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("title", "id"))), lambda x: x["id"]).alias("ids"))
+    """(content_hash, n, first_id, id, title): each live concept that shares its body with others, and the group's first by title and id.
+
+    A group is as many rows as it has concepts, so none has to fit into one row.
+    """
+    shared = corpus.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("title", "id"))["id"].alias("first_id")).where("n > 1")
+    return corpus.select("content_hash", "id", "title").join(shared, "content_hash").select("content_hash", "n", "first_id", "id", "title")
 
 
 def missing_description(corpus: DataFrame, stable_only: bool = True, limit: int | None = None) -> DataFrame:
@@ -33,12 +35,25 @@ def stale_concepts(corpus: DataFrame, as_of: str, days: int = 180) -> DataFrame:
 
 
 def curate_report(findings: dict[str, DataFrame]) -> DataFrame:
-    """Findings (id) by section as counts, with a line for all (null)."""
+    """Findings by section as counts, with a line for all (null); a row with a column ``weight`` stands for so many findings."""
+    rows = None
+    for name, df in findings.items():
+        part = df.select(F.lit(name).alias("section"), (F.col("weight") if "weight" in df.columns else F.lit(1)).cast("long").alias("n"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.rollup("section").agg(F.sum("n").alias("n"))
+
+
+def curate_findings(findings: dict[str, DataFrame], limit: int = 50) -> DataFrame:
+    """(section, place, id, detail): the first ``limit`` findings of each section, by id and detail.
+
+    Findings are (id, detail).  Each section is cut to its first before anything is numbered.
+    """
     rows = None
     for name, df in findings.items():
-        part = df.select(F.lit(name).alias("section"))
+        part = df.select("id", "detail").orderBy("id", "detail").limit(limit).select(F.lit(name).alias("section"), "id", "detail")
         rows = part if rows is None else rows.unionByName(part)
-    return rows.rollup("section").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy("id", "detail"))
+    return rows.select("section", place.alias("place"), "id", "detail")
 
 
 def change_digest(concepts: DataFrame, as_of: str, days: int = 7, limit: int = 200) -> DataFrame:

@@ -13,9 +13,10 @@ from .duck import sql
 AS_OF = "2024-01-31"
 
 
-@register("dup_groups", sql("SELECT content_hash, n, ids FROM (SELECT content_hash, count(*) AS n, array_to_string(list(id ORDER BY title, id), ',') AS ids FROM corpus GROUP BY 1) WHERE n > 1"))
+@register("dup_groups", sql("""SELECT content_hash, n, first_id, id, title FROM (
+  SELECT content_hash, count(*) OVER g AS n, first_value(id) OVER (g ORDER BY title, id) AS first_id, id, title FROM corpus WINDOW g AS (PARTITION BY content_hash)) WHERE n > 1"""))
 def dup_groups(spark, d):
-    return op.dup_groups(fx.corpus(spark, d)).withColumn("ids", F.array_join("ids", ","))
+    return op.dup_groups(fx.corpus(spark, d))
 
 
 @register("missing_description", sql("SELECT id, title FROM corpus WHERE coalesce(description, '') = '' AND status = 'stable'"))
@@ -37,17 +38,41 @@ def stale_concepts(spark, d):
 WITH f AS (SELECT 'duplicates' AS section FROM (SELECT content_hash FROM corpus GROUP BY 1 HAVING count(*) > 1)
 UNION ALL SELECT 'dangling' FROM (SELECT DISTINCT id, target FROM links WHERE lower(target) NOT IN (SELECT lower(title) FROM corpus))
 UNION ALL SELECT 'no-description' FROM corpus WHERE coalesce(description, '') = '' AND status = 'stable' UNION ALL SELECT 'stale' FROM corpus WHERE updated_at < TIMESTAMP '2024-01-31' - INTERVAL 180 DAY
-UNION ALL SELECT 'title-repeat' FROM headed_corpus)
+UNION ALL SELECT 'title-repeat' FROM headed_corpus UNION ALL SELECT 'unlinked' FROM mentions)
 SELECT section, count(*) AS n FROM f GROUP BY GROUPING SETS ((section), ())"""))
 def curate_report(spark, d):
     corpus = fx.corpus(spark, d)
     return op.curate_report(
         {
-            "duplicates": op.dup_groups(corpus),
+            "duplicates": op.dup_groups(corpus).where("id = first_id"),
             "dangling": links.link_dangling(links.link_extract(fx.linked_corpus(spark, d)), corpus),
             "no-description": op.missing_description(corpus),
             "stale": op.stale_concepts(corpus, AS_OF),
             "title-repeat": links.title_repeat(fx.headed_corpus(spark, d)),
+            "unlinked": links.mention_counts(fx.linked_corpus(spark, d)).withColumnRenamed("n", "weight"),
+        }
+    )
+
+
+@register("curate_findings", sql("""
+WITH f AS (SELECT 'duplicates' AS section, id, content_hash AS detail FROM (SELECT id, content_hash, count(*) OVER (PARTITION BY content_hash) AS n FROM corpus) WHERE n > 1
+UNION ALL SELECT DISTINCT 'dangling', id, target FROM links WHERE lower(target) NOT IN (SELECT lower(title) FROM corpus)
+UNION ALL SELECT 'no-description', id, title FROM corpus WHERE coalesce(description, '') = '' AND status = 'stable'
+UNION ALL SELECT 'stale', id, CAST(CAST(updated_at AS DATE) AS VARCHAR) FROM corpus WHERE updated_at < TIMESTAMP '2024-01-31' - INTERVAL 180 DAY
+UNION ALL SELECT 'title-repeat', id, title FROM headed_corpus
+UNION ALL SELECT 'unlinked', target_id, CAST(count(*) AS VARCHAR) FROM mentions GROUP BY target_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY id, detail) AS place FROM f)
+SELECT section, CAST(place AS INT) AS place, id, detail FROM r WHERE place <= 50"""))
+def curate_findings(spark, d):
+    corpus = fx.corpus(spark, d)
+    return op.curate_findings(
+        {
+            "duplicates": op.dup_groups(corpus).withColumn("detail", F.col("content_hash")),
+            "dangling": links.link_dangling(links.link_extract(fx.linked_corpus(spark, d)), corpus).withColumn("detail", F.col("target")),
+            "no-description": op.missing_description(corpus).withColumn("detail", F.col("title")),
+            "stale": op.stale_concepts(corpus, AS_OF).withColumn("detail", F.col("updated_on").cast("string")),
+            "title-repeat": links.title_repeat(fx.headed_corpus(spark, d)).withColumn("detail", F.col("title")),
+            "unlinked": links.mention_counts(fx.linked_corpus(spark, d)).withColumn("detail", F.col("n").cast("string")),
         }
     )
 

@@ -71,6 +71,10 @@ CTES = {
   CASE WHEN id % 2 = 0 THEN 'ingest' ELSE 'import' END AS source, CASE WHEN id % 5 = 0 THEN 'resolved' ELSE 'pending' END AS status, title,
   body || ' revised' AS body, 'sha256:' || sha256(body || ' revised') AS content_hash, CASE WHEN id % 4 <> 0 THEN id END AS target_id, CAST(created_at AS DATE) AS created_on,
   CASE WHEN id % 5 = 0 THEN CAST(created_at AS DATE) + 3 END AS resolved_on, id % 12 = 0 AS edited FROM corpus WHERE id % 3 = 0""",
+    "mentions": r"""SELECT target_id, source_id FROM (SELECT id AS target_id, lower(trim(title)) AS t, regexp_matches(lower(trim(title)), '^[\x20-\x7e]+$') AND regexp_matches(lower(trim(title)), '[a-z0-9]') AS is_ascii
+    FROM linked_corpus WHERE length(trim(title)) >= 2)
+  JOIN (SELECT id AS source_id, regexp_replace(lower(body), '!?\[\[[^\[\]\n]{1,200}\]\]', chr(57344), 'g') AS low FROM linked_corpus) ON contains(low, t) AND target_id <> source_id
+  WHERE NOT is_ascii OR regexp_matches(low, '(?:^|[^a-z0-9])' || regexp_escape(t) || '(?:$|[^a-z0-9])')""",
     "links": r"""SELECT id, pos, trim(target) AS target, display, embed FROM (
   SELECT id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS raw, starts_with(raw, '!') AS embed, regexp_extract(raw, '\[\[([^\[\]\n]*)\]\]', 1) AS inner_text,
     string_split(inner_text, '|')[1] AS target, CASE WHEN contains(inner_text, '|') THEN trim(substr(inner_text, strpos(inner_text, '|') + 1)) END AS alias,
