@@ -26,7 +26,8 @@ def bundle_read(spark, d):
 
 @register("bundle_manifest", sql("""
 WITH r AS (SELECT CASE WHEN status = 'deprecated' THEN 'deprecated/' ELSE '' END || lower(type) || 's' AS dir, title, id, CAST(updated_at AS DATE) AS d FROM corpus)
-SELECT dir, count(*) AS n, md5(string_agg('- ' || title, chr(10) ORDER BY title, id)) AS listing, (SELECT max(d) FROM r) AS exported_at FROM r GROUP BY 1"""))
+SELECT dir, CAST(place // 500 AS INT) AS page, count(*) AS n, md5(string_agg('- ' || title, chr(10) ORDER BY title, id)) AS listing, (SELECT max(d) FROM r) AS exported_at
+  FROM (SELECT *, row_number() OVER (PARTITION BY dir ORDER BY title, id) - 1 AS place FROM r) GROUP BY 1, 2"""))
 def bundle_manifest(spark, d):
     return op.bundle_manifest(fx.corpus(spark, d))
 

@@ -14,11 +14,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import numbered
 from ..session import materialise
 
 # Limits of header fields, states, and folders of type words.
 CLAMPS = {"type": 64, "description": 1000, "category": 200}
 MAX_TAGS = 30
+#: Titles of one page of a folder's listing.
+PAGE_TITLES = 500
 STATUSES = ("draft", "stable", "deprecated")
 FOLDERS = {"note": "notes", "notes": "notes", "reference": "references", "references": "references", "procedure": "procedures", "procedures": "procedures"}
 ROWS = "file string, error string, id long, title string, type string, description string, category string, status string, tags array<string>, body string"
@@ -151,15 +154,21 @@ def bundle_read(spark: SparkSession, uri: str) -> DataFrame:
     return files.mapInArrow(run, ROWS)
 
 
-def bundle_manifest(corpus: DataFrame) -> DataFrame:
-    """(dir, n, listing, exported_at): each folder's concepts in order of their titles, and the last change of all."""
+def bundle_manifest(corpus: DataFrame, page_titles: int = PAGE_TITLES) -> DataFrame:
+    """(dir, page, n, listing, exported_at): each folder's concepts in order of their titles, in pages from 0, and the last change of all.
+
+    ``listing`` is the digest of a page's lines.  A folder is as many pages as it
+    needs, so no row grows with the corpus.
+    """
     words = F.filter(F.split(F.lower("type"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     alias = F.create_map(*[F.lit(x) for kv in FOLDERS.items() for x in kv])
     known = F.filter(F.transform(words, lambda w: F.element_at(alias, w)), lambda x: x.isNotNull())
     where = F.concat(F.when(F.col("status") == "deprecated", "deprecated/").otherwise(""), F.coalesce(F.get(known, F.lit(0)), F.get(words, F.lit(0)), F.lit("notes")))
     rows = corpus.select(where.alias("dir"), "title", "id", F.col("updated_at").cast("date").alias("on"))
     last = rows.agg(F.max("on").alias("exported_at"))
-    listed = rows.groupBy("dir").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("title", "id"))), lambda x: F.concat(F.lit("- "), x["title"])), "\n").cast("binary")).alias("listing"))
+    placed = numbered(rows.select("dir", "title", "id"), ["dir"], ["title", "id"], "listing").withColumn("page", F.floor(F.col("place") / page_titles).cast("int"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place", "title"))), lambda x: F.concat(F.lit("- "), x["title"]))
+    listed = placed.groupBy("dir", "page").agg(F.count(F.lit(1)).alias("n"), F.md5(F.array_join(lines, "\n").cast("binary")).alias("listing"))
     return listed.crossJoin(F.broadcast(last))
 
 
@@ -175,15 +184,19 @@ def bundle_classify(docs: DataFrame, corpus: DataFrame) -> DataFrame:
     rows = materialise(docs.select("seq", F.col("content_hash").alias("h"), F.lower("title").alias("t")), "bundle")
     have_h, have_t = corpus.select(F.col("content_hash").alias("h")).distinct(), corpus.select(F.lower("title").alias("t")).distinct()
     open_rows = materialise(rows.join(have_h, "h", "left_anti").join(have_t, "t", "left_anti"), "bundle")
-    created = spark.createDataFrame([], rows.schema)
+    rounds = [spark.createDataFrame([], rows.schema)]
     while not open_rows.isEmpty():
         first_h = open_rows.groupBy("h").agg(F.min("seq").alias("fh"))
         first_t = open_rows.groupBy("t").agg(F.min("seq").alias("ft"))
         ranked = open_rows.join(first_h, "h").join(first_t, "t")
         fresh = materialise(ranked.where("seq = fh AND seq = ft").select("seq", "h", "t"), "created")
-        created = materialise(created.unionByName(fresh), "created")
+        # Each round's rows stay as they were written; they meet once, at the end.
+        rounds.append(fresh)
         rest = open_rows.join(fresh.select("seq"), "seq", "left_anti")
         open_rows = materialise(rest.join(fresh.select("h"), "h", "left_anti").join(fresh.select("t"), "t", "left_anti"), "bundle")
+    created = rounds[0]
+    for fresh in rounds[1:]:
+        created = created.unionByName(fresh)
     made = created.groupBy("h").agg(F.min("seq").alias("made"))
     state = rows.join(created.select("seq", F.lit(True).alias("new")), "seq", "left").join(have_h.withColumn("held", F.lit(True)), "h", "left").join(made, "h", "left")
     verdict = F.when(F.col("new"), "create").when(F.col("held") | (F.col("made") < F.col("seq")), "duplicate").otherwise("conflict")
