@@ -55,16 +55,19 @@ def s_traffic(spark, d):
 
 @register("s_call_rate", sql("""
 WITH w AS (SELECT actor, date_trunc('minute', ts) + to_seconds(CAST(floor(second(ts) / 10) AS INT) * 10) - to_seconds(k * 10) AS since, ts FROM model_calls, (VALUES (0), (1), (2), (3), (4), (5)) AS ks(k))
-SELECT CAST(since AS VARCHAR) AS since, actor, count(*) AS n FROM w WHERE ts < since + INTERVAL 1 MINUTE AND since + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM model_calls) GROUP BY 1, 2 HAVING count(*) > 0"""))
+SELECT CAST(since AS VARCHAR) AS since, CASE WHEN grouping(actor) = 1 THEN 'all' ELSE 'actor' END AS scope, actor, count(*) AS n FROM w
+WHERE ts < since + INTERVAL 1 MINUTE AND since + INTERVAL 1 MINUTE <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM model_calls)
+GROUP BY GROUPING SETS ((since, actor), (since)) HAVING count(*) > CASE WHEN grouping(actor) = 1 THEN 1 ELSE 0 END"""))
 def s_call_rate(spark, d):
-    rows = jobs.drained(jobs.call_rate(_calls(spark, d, None), 0), "call-rate")
-    return rows.select(F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "actor", "n")
+    rows = jobs.drained(jobs.call_rate(_calls(spark, d, None), 0, 1), "call-rate")
+    return rows.select(F.date_format("since", "yyyy-MM-dd HH:mm:ss").alias("since"), "scope", "actor", "n")
 
 
 @register("s_token_budget", sql("""
-SELECT actor, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, CAST(sum(coalesce(actual, reserved)) AS BIGINT) AS tokens, sum(coalesce(actual, reserved)) > 20000 AS over FROM model_calls GROUP BY 1, 2"""))
+WITH c AS (SELECT actor, CAST(ts + INTERVAL 8 HOUR AS DATE) AS day, coalesce(actual, reserved) AS t FROM model_calls)
+SELECT CASE WHEN grouping(actor) = 1 THEN 'all' ELSE 'actor' END AS scope, actor, day, CAST(sum(t) AS BIGINT) AS tokens, sum(t) > CASE WHEN grouping(actor) = 1 THEN 100000 ELSE 20000 END AS over FROM c GROUP BY GROUPING SETS ((actor, day), (day))"""))
 def s_token_budget(spark, d):
-    return jobs.latest(jobs.token_budget(_calls(spark, d), 20_000), ["actor", "day"], "token-budget")
+    return jobs.latest(jobs.token_budget(_calls(spark, d), 20_000, 100_000), ["scope", "actor", "day"], "token-budget")
 
 
 _TASK = "CASE {first} WHEN true THEN 'enqueue' ELSE CASE event_type WHEN 'signup' THEN 'enqueue' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'progress' WHEN 'purchase' THEN 'finish' ELSE 'fail' END END"

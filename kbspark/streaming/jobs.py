@@ -80,16 +80,23 @@ def traffic(log: DataFrame, late: str = "10 minutes") -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("status") >= 400).alias("failed"), F.avg("took_ms").alias("avg_ms")).select(F.col("w.start").alias("hour"), "path", "total", "failed", "avg_ms")
 
 
-def call_rate(calls: DataFrame, limit: int, late: str = "10 minutes") -> DataFrame:
-    """Actors with more calls than ``limit`` in a sliding minute."""
-    rows = calls.withWatermark("ts", late).groupBy(F.window("ts", "1 minute", "10 seconds").alias("w"), "actor").agg(F.count(F.lit(1)).alias("n"))
-    return rows.where(F.col("n") > limit).select(F.col("w.start").alias("since"), "actor", "n")
+def _with_all(calls: DataFrame) -> DataFrame:
+    """Each call once for its actor and once for all of them together, ``scope`` actor or all; partial sums keep the latter small."""
+    return calls.withColumn("scope", F.explode(F.array(F.lit("actor"), F.lit("all")))).withColumn("actor", F.when(F.col("scope") == "actor", F.col("actor")))
 
 
-def token_budget(calls: DataFrame, limit: int) -> DataFrame:
-    """Tokens of each actor and calendar day of the library's zone, and whether they exceed the budget."""
+def call_rate(calls: DataFrame, limit: int, overall: int, late: str = "10 minutes") -> DataFrame:
+    """Actors with more calls than ``limit`` in a sliding minute, and minutes with more than ``overall`` of all actors (``scope`` all, null actor)."""
+    rows = _with_all(calls.withWatermark("ts", late)).groupBy(F.window("ts", "1 minute", "10 seconds").alias("w"), "scope", "actor").agg(F.count(F.lit(1)).alias("n"))
+    most = F.when(F.col("scope") == "all", overall).otherwise(limit)
+    return rows.where(F.col("n") > most).select(F.col("w.start").alias("since"), "scope", "actor", "n")
+
+
+def token_budget(calls: DataFrame, limit: int, overall: int) -> DataFrame:
+    """Tokens of each actor, and of all (``scope`` all, null actor), by calendar day of the library's zone, and whether they exceed the budget."""
     day = F.from_utc_timestamp("ts", ZONE).cast("date")
-    return calls.groupBy("actor", day.alias("day")).agg(F.sum(F.coalesce("actual", "reserved")).alias("tokens")).withColumn("over", F.col("tokens") > limit)
+    sums = _with_all(calls).groupBy("scope", "actor", day.alias("day")).agg(F.sum(F.coalesce("actual", "reserved")).alias("tokens"))
+    return sums.withColumn("over", F.col("tokens") > F.when(F.col("scope") == "all", overall).otherwise(limit))
 
 
 def latest(df: DataFrame, keys: list[str], name: str) -> DataFrame:

@@ -200,3 +200,19 @@ def test_chunk_refresh_goes_on_from_its_table(spark, tmp_path):
     undo_last_commit(root)
     assert read() == want
     assert read([(3, 1, "d", "three")], 1) == [*want, (3, 0, "d", "three")]
+
+
+def test_limits_over_all_actors(spark, tmp_path):
+    """Three actors stay below their own limit and together exceed the one over all; the calls come in two triggers."""
+    rows = [(f"2024-01-01 10:00:{s:02d}", actor, 100, None if s % 2 else 50) for s in range(0, 30, 5) for actor in (1, 2, 3)] + [("2024-01-01 12:00:00", 1, 1, None)]
+    calls = spark.createDataFrame(rows, "at string, actor long, reserved long, actual long").select(F.to_timestamp("at").alias("ts"), "actor", "reserved", "actual")
+    path = f"{tmp_path}/calls"
+    calls.where("actor < 3 AND ts < '2024-01-01 11:00:00'").coalesce(1).write.parquet(path)
+    calls.where("actor = 3 OR ts > '2024-01-01 11:00:00'").coalesce(1).write.mode("append").parquet(path)
+    live = lambda: jobs.stream(spark, path, None)
+    found = jobs.drained(jobs.call_rate(live(), 6, 17), "call-rate").collect()
+    assert found and {(r.scope, r.actor) for r in found} == {("all", None)} and {r.n for r in found} == {18}
+    assert {r.scope for r in jobs.drained(jobs.call_rate(live(), 5, 18), "call-rate").collect()} == {"actor"}
+    one_by_one = jobs.stream(spark, path, 1)
+    budget = jobs.latest(jobs.token_budget(one_by_one, 1000, 1000), ["scope", "actor", "day"], "token-budget").collect()
+    assert {(r.scope, r.actor): (r.tokens, r.over) for r in budget} == {("actor", 1): (451, False), ("actor", 2): (450, False), ("actor", 3): (450, False), ("all", None): (1351, True)}

@@ -1,5 +1,6 @@
 """Golden values and properties of operators and helpers."""
 
+import hashlib
 import math
 import random
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 from kbspark.functions import text as T
 from kbspark.functions.markdown import chunks, headings, sections
+from kbspark.functions.places import numbered
+from kbspark.functions.text import common_lines
 from kbspark.functions import words
 from kbspark.functions.words import Grams, trigram_list, word_similarity
-from kbspark.operators import corpus, evidence, folders, links, review, search, usage, vectors
+from kbspark.operators import corpus, curate, evidence, folders, links, review, search, usage, vectors
 from kbspark.operators.curate import fingerprint
 from kbspark.sources import bundle
 
@@ -422,3 +425,98 @@ def test_a_plain_checkpoint_path_is_of_the_default_file_system(spark, tmp_path):
     finally:
         hadoop.set("fs.defaultFS", default)
     assert session.read_part(session.shared_parts(spark.range(3), "x", 1)[0]).num_rows == 3
+
+
+def test_version_diff_is_the_longest_common_run(spark):
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice("abcde") for _ in range(rng.randrange(90))) for _ in range(60)] + ["", "x\ny\nz", "z\nx\ny", None]
+    versions = [(i % 8, i, t) for i, t in enumerate(texts)]
+    now = [(c, texts[c * 5]) for c in range(6)] + [(6, "x\ny\nz"), (7, None)]
+    got = {(r.concept_id, r.version_number): (r.added, r.removed, r.kept, r.moved) for r in corpus.version_diff(spark.createDataFrame(versions, "concept_id long, version_number int, body string"), spark.createDataFrame(now, "concept_id long, body string")).collect()}
+    split = lambda t: t.split("\n") if t else []
+    want = {}
+    for c, n, t in versions:
+        a, b = split(t), split(dict(now)[c])
+        kept = longest(a, b)
+        shared = sum(min(a.count(x), b.count(x)) for x in set(a))
+        want[c, n] = (len(b) - kept, len(a) - kept, kept, shared - kept)
+    assert got == want
+    assert any(moved for *_, moved in got.values())
+    none = corpus.version_diff(spark.createDataFrame([], "concept_id long, version_number int, body string"), spark.createDataFrame(now, "concept_id long, body string"))
+    assert none.count() == 0
+
+
+def test_common_lines_of_long_texts():
+    old = "\n".join(str(i) for i in range(20_000))
+    new = "\n".join(str(i) for i in [*range(10_000, 20_000), *range(10_000)])
+    assert common_lines(old, new) == (20_000, 20_000, 10_000, 20_000)
+
+
+def test_purge_takes_and_unlinks(spark):
+    frame = lambda rows, kinds: spark.createDataFrame(rows, kinds)
+    purged = frame([(1,), (1,), (2,)], "concept_id long")
+    versions = frame([(1, 1), (3, 1)], "concept_id long, version_number int")
+    sources = frame([(2, "h"), (3, "h")], "concept_id long, content_hash string")
+    files = frame([(2, "k"), (None, "z")], "concept_id long, storage_key string")
+    chunks = frame([(1, 10), (1, 11), (3, 12)], "concept_id long, chunk_id long")
+    reviews = frame([(5, 1, None), (6, 3, 2), (7, 2, 2), (8, None, None)], "item_id long, target_id long, resolved_id long")
+    got = sorted(tuple(r) for r in corpus.purge_cascade(purged, versions, sources, files, chunks, reviews).collect())
+    assert got == [("attachment", "k", "delete"), ("chunk", "10", "delete"), ("chunk", "11", "delete"), ("review-resolved", "6", "unlink"), ("review-resolved", "7", "unlink"), ("review-target", "5", "unlink"), ("review-target", "7", "unlink"), ("source", "2:h", "unlink"), ("version", "1:1", "delete")]
+
+
+def test_places_within_a_hot_key(spark):
+    """Two thirds of all rows have one key; a null key is a key."""
+    rows = [("hot" if i % 3 else None if i % 2 else f"k{i % 9}", (i * 7919) % 1000, i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, at int, id int").repartition(5)
+    got = {r.id: r.place for r in numbered(df, ["k"], ["at", "id"], "places").collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        for place, (_, _, i) in enumerate(sorted((r for r in rows if r[0] == k), key=lambda r: r[1:])):
+            want[i] = place
+    assert got == want
+
+
+def test_listing_pages(spark):
+    rows = [(i, f"t{i % 40:02d}", "Note" if i % 4 else "Odd kind", "stable", "2024-01-01") for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, title string, type string, status string, at string").withColumn("updated_at", F.to_timestamp("at"))
+    got = {(r.dir, r.page): (r.n, r.listing) for r in bundle.bundle_manifest(df, page_titles=20).collect()}
+    notes = sorted((t, i) for i, t, kind, *_ in rows if kind == "Note")
+    want = {("notes", p): (len(part), hashlib.md5("\n".join(f"- {t}" for t, _ in part).encode()).hexdigest()) for p in range(4) if (part := notes[p * 20 : p * 20 + 20])}
+    assert {k: v for k, v in got.items() if k[0] == "notes"} == want
+    assert {k: n for k, (n, _) in got.items() if k[0] == "odd"} == {("odd", 0): 20, ("odd", 1): 5}
+
+
+def test_mention_counts_leave_out_the_own_body(spark):
+    day = "2024-01-01"
+    rows = [(1, "Red Fox", "the red fox, red fox", day), (2, "red fox", "no [[red fox]] here", day), (3, "x", "a red fox and red foxes", day), (4, "none", None, day), (5, None, "red fox", day)]
+    df = spark.createDataFrame(rows, "id long, title string, body string, at string").withColumn("updated_at", F.to_timestamp("at"))
+    assert {r.id: r.n for r in links.mention_counts(df).collect()} == {1: 2, 2: 3}
+
+
+def test_findings_are_cut_by_section(spark):
+    many = spark.createDataFrame([(i, f"d{i}") for i in range(200)], "id long, detail string")
+    got = curate.curate_findings({"many": many.repartition(7), "few": many.where("id < 2"), "none": many.limit(0)}, limit=5).collect()
+    assert sorted((r.section, r.place, r.id) for r in got) == [("few", 1, 0), ("few", 2, 1), *[("many", i + 1, i) for i in range(5)]]
+    counts = {r.section: r.n for r in curate.curate_report({"many": many, "heavy": many.limit(2).withColumn("weight", F.lit(4)), "none": many.limit(0)}).collect()}
+    assert counts == {"many": 200, "heavy": 8, None: 208}
+
+
+def test_vector_sets_and_spaces(spark):
+    v, w = [1.0, 0.0], [1.0]
+    rows = [(1, 0, "s", "a", v), (1, 1, "s", "a", v), (2, 1, "s", "a", v), (3, 0, "s", "a", v), (3, 0, "s", "a", v), (4, 0, "s", "a", v), (4, 1, "t", "a", v), (5, 0, "s", None, v), (5, 1, "s", "a", v), (6, 0, "s", "b", v), (6, 1, "s", "b", w), (7, 0, "s", None, v), (8, None, "s", "a", v), (9, 0, "s", "a", None)]
+    df = spark.createDataFrame(rows, "concept_id long, ordinal int, space string, model string, embedding array<double>")
+    assert {r.concept_id: r.verdict for r in vectors.vector_sets(df).collect()} == {1: "whole", 2: "gap", 3: "gap", 4: "spaces", 5: "models", 6: "dimensions", 7: "whole", 8: "gap", 9: "dimensions"}
+    spaces = {(r.space, r.model, r.dim): (r.n, r.verdict) for r in vectors.vector_spaces(df).collect()}
+    assert spaces["s", "a", 2] == (8, "pinned") and spaces["t", "a", 2] == (1, "pinned")
+    assert {k for k, (_, x) in spaces.items() if x == "foreign"} == {("s", None, 2), ("s", "b", 2), ("s", "b", 1), ("s", "a", -1)}
+    guard = spark.createDataFrame([(1, v), (2, [0.0, 0.0]), (3, w), (4, [1.0, float("nan")]), (5, None), (6, [1.0, None])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: r.verdict for r in vectors.vector_guard(guard, 2).collect()} == {1: "accepted", 2: "zero", 3: "dimension", 4: "not-finite", 5: "dimension", 6: "not-finite"}
