@@ -34,7 +34,7 @@ def bundle_manifest(spark, d):
 
 @register("bundle_classify")
 def bundle_classify(spark, d):
-    return op.bundle_classify(fx.bundle_rows(spark, d), fx.corpus(spark, d).where("id % 2 = 0"))
+    return op.bundle_classify(fx.bundle_rows(spark, d), fx.corpus(spark, d))
 
 
 @register("bundle_classify_apart", sql("""

@@ -65,12 +65,12 @@ CTES = {
     "answers": """SELECT conv_id * 1000 + turn AS answer_id, text || CASE turn % 3 WHEN 0 THEN ' [1] then [2][1]' WHEN 1 THEN ' see [2] and [9]' ELSE ' [1] [0] [12]' END AS answer
   FROM conversations WHERE role = 'assistant' AND text IS NOT NULL""",
     "bundle_rows": """SELECT *, 'sha256:' || sha256(body) AS content_hash FROM (SELECT id AS seq, owner_id,
-  CASE WHEN id % 17 = 0 THEN 'shared title' WHEN id % 9 = 6 THEN 'new ' || id || ' ' || title ELSE title END AS title,
-  CASE WHEN id % 9 = 0 THEN body ELSE body || ' altered ' || (id % 7) END AS body FROM corpus WHERE id % 3 = 0)""",
-    "review_pending": """SELECT id AS item_id, owner_id, CASE WHEN id % 9 = 0 THEN 'near_duplicate' WHEN id % 9 = 3 THEN 'quality_risk' ELSE 'conflict' END AS kind,
+  CASE WHEN id % 17 = 0 THEN 'shared title' WHEN id % 3 = 2 THEN 'new ' || id || ' ' || title WHEN id % 6 = 1 THEN 'incoming ' || title ELSE title END AS title,
+  CASE WHEN id % 3 = 0 THEN body ELSE body || ' altered ' || (id % 7) END AS body FROM corpus)""",
+    "review_pending": """SELECT id AS item_id, owner_id, CASE id % 3 WHEN 0 THEN 'near_duplicate' WHEN 1 THEN 'quality_risk' ELSE 'conflict' END AS kind,
   CASE WHEN id % 2 = 0 THEN 'ingest' ELSE 'import' END AS source, CASE WHEN id % 5 = 0 THEN 'resolved' ELSE 'pending' END AS status, title,
   body || ' revised' AS body, 'sha256:' || sha256(body || ' revised') AS content_hash, CASE WHEN id % 4 <> 0 THEN id END AS target_id, CAST(created_at AS DATE) AS created_on,
-  CASE WHEN id % 5 = 0 THEN CAST(created_at AS DATE) + 3 END AS resolved_on, id % 12 = 0 AS edited FROM corpus WHERE id % 3 = 0""",
+  CASE WHEN id % 5 = 0 THEN CAST(created_at AS DATE) + 3 END AS resolved_on, id % 7 = 0 AS edited FROM corpus""",
     "mentions": r"""SELECT target_id, source_id FROM (SELECT id AS target_id, lower(trim(title)) AS t, regexp_matches(lower(trim(title)), '^[\x20-\x7e]+$') AND regexp_matches(lower(trim(title)), '[a-z0-9]') AS is_ascii
     FROM linked_corpus WHERE length(trim(title)) >= 2)
   JOIN (SELECT id AS source_id, regexp_replace(lower(body), '!?\[\[[^\[\]\n]{1,200}\]\]', chr(57344), 'g') AS low FROM linked_corpus) ON contains(low, t) AND target_id <> source_id

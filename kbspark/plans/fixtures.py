@@ -225,23 +225,23 @@ def answers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bundle_rows(spark: SparkSession, d: str) -> DataFrame:
-    """An incoming bundle: copies, altered bodies under old titles, new titles, and collisions among themselves."""
-    rows = corpus(spark, d).where("id % 3 = 0")
+    """An incoming bundle, a row for each live concept: copies, altered bodies under old titles, new titles, and collisions among themselves."""
+    rows = corpus(spark, d)
     return rows.select(
         F.col("id").alias("seq"),
         "owner_id",
-        F.expr("CASE WHEN id % 17 = 0 THEN 'shared title' WHEN id % 9 = 6 THEN concat('new ', id, ' ', title) ELSE title END").alias("title"),
-        F.expr("CASE WHEN id % 9 = 0 THEN body ELSE concat(body, ' altered ', id % 7) END").alias("body"),
+        F.expr("CASE WHEN id % 17 = 0 THEN 'shared title' WHEN id % 3 = 2 THEN concat('new ', id, ' ', title) WHEN id % 6 = 1 THEN concat('incoming ', title) ELSE title END").alias("title"),
+        F.expr("CASE WHEN id % 3 = 0 THEN body ELSE concat(body, ' altered ', id % 7) END").alias("body"),
     ).withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2(F.col("body").cast("binary"), 256)))
 
 
 def review_pending(spark: SparkSession, d: str) -> DataFrame:
-    """Review items: one for every third live concept, of which some have no target and some are resolved."""
-    rows = corpus(spark, d).where("id % 3 = 0")
+    """Review items: one for every live concept, of which some have no target, some a changed one, and some are resolved."""
+    rows = corpus(spark, d)
     return rows.select(
         F.col("id").alias("item_id"),
         "owner_id",
-        F.expr("CASE WHEN id % 9 = 0 THEN 'near_duplicate' WHEN id % 9 = 3 THEN 'quality_risk' ELSE 'conflict' END").alias("kind"),
+        F.expr("CASE id % 3 WHEN 0 THEN 'near_duplicate' WHEN 1 THEN 'quality_risk' ELSE 'conflict' END").alias("kind"),
         F.expr("CASE WHEN id % 2 = 0 THEN 'ingest' ELSE 'import' END").alias("source"),
         F.expr("CASE WHEN id % 5 = 0 THEN 'resolved' ELSE 'pending' END").alias("status"),
         "title",
@@ -250,5 +250,5 @@ def review_pending(spark: SparkSession, d: str) -> DataFrame:
         F.expr("CASE WHEN id % 4 <> 0 THEN id END").alias("target_id"),
         F.expr("CAST(created_at AS DATE)").alias("created_on"),
         F.expr("CASE WHEN id % 5 = 0 THEN date_add(CAST(created_at AS DATE), 3) END").alias("resolved_on"),
-        F.expr("id % 12 = 0").alias("edited"),
+        F.expr("id % 7 = 0").alias("edited"),
     )
