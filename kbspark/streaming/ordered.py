@@ -13,16 +13,19 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from .rules import Rule, fold, lapsed
 
 OUT = "key string, sub string, id long, at double, output string"
+#: Groups of keys that share a call, a list of waiting events and a timer.
+BUCKETS = 2048
 _STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class InOrder(StatefulProcessor):
-    """Folds a key's events by a rule, once the watermark says that nothing earlier will come.
+    """Folds the events of keys, some to a bucket, by a rule, once the watermark says that nothing earlier will come.
 
     Events wait in list state until the watermark reaches them and are then taken in
     the order of (at, id), whatever the triggers or files they came with.  What the
-    rule remembers is map state by ``sub``, so one owner's questions are told apart.
-    One event-time timer a key stands at the first moment that matters: its earliest
+    rule remembers is map state by key and ``sub``, so one owner's questions are told apart.
+    Calls, state lists and timers are a bucket's, since each costs as much as many events.
+    One event-time timer a bucket stands at the first moment that matters: its earliest
     waiting event, or the first state to lapse.  It fires without any further event,
     reports what has lapsed and drops it, so state does not outlive its use.
     """
@@ -32,16 +35,16 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "sub string, id long, at double, kind string")
-        self.live = handle.getMapState("live", "sub string", "state string")
+        self.waiting = handle.getListState("waiting", "key string, sub string, id long, at double, kind string")
+        self.live = handle.getMapState("live", "key string, sub string", "state string")
         self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
-            events = list(zip(part["sub"], map(int, part["id"]), map(float, part["at"]), part["kind"], strict=True))
+            events = list(zip(part["key"], part["sub"], map(int, part["id"]), map(float, part["at"]), part["kind"], strict=True))
             self.waiting.appendList(events)
-            first = min([e[2] for e in events] + ([] if first is None else [first]))
+            first = min([e[3] for e in events] + ([] if first is None else [first]))
         if first is not None:
             self._wake(-int(-first * 1000 // 1))
         return iter(())
@@ -58,29 +61,29 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.timer.clear()
         now = timerValues.getCurrentWatermarkInMs() / 1000
-        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: (e[2], e[1]))
-        ripe = [e for e in events if e[2] <= now]
+        events = sorted((tuple(e) for e in self.waiting.get()), key=lambda e: (e[3], e[2]))
+        ripe = [e for e in events if e[3] <= now]
         rest = events[len(ripe) :]
         if rest:
             self.waiting.put(rest)
         elif self.waiting.exists():
             self.waiting.clear()
-        held = {sub: json.loads(text) for (sub,), (text,) in self.live.iterator()} if self.live.exists() else {}
+        held = {tuple(name): json.loads(text) for name, (text,) in self.live.iterator()} if self.live.exists() else {}
         before, out = dict(held), []
-        for sub, i, at, kind in ripe:
-            state, said = fold(self.rule, held.pop(sub, None), {"id": i, "at": at, "kind": kind})
-            out += [(key[0], sub, *x) for x in said]
+        for own, sub, i, at, kind in ripe:
+            state, said = fold(self.rule, held.pop((own, sub), None), {"id": i, "at": at, "kind": kind})
+            out += [(own, sub, *x) for x in said]
             if state is not None:
-                held[sub] = state
-        for sub in [s for s, state in held.items() if self.rule.due(state) < now]:
-            out += [(key[0], sub, *x) for x in lapsed(self.rule, held.pop(sub))]
-        for sub in before.keys() - held.keys():
-            self.live.removeKey((sub,))
-        for sub, state in held.items():
-            if before.get(sub) != state:
-                self.live.updateValue((sub,), (json.dumps(state),))
+                held[own, sub] = state
+        for name in [s for s, state in held.items() if self.rule.due(state) < now]:
+            out += [(*name, *x) for x in lapsed(self.rule, held.pop(name))]
+        for name in before.keys() - held.keys():
+            self.live.removeKey(name)
+        for name, state in held.items():
+            if before.get(name) != state:
+                self.live.updateValue(name, (json.dumps(state),))
         # A state lapses behind its last moment, an event is ripe at its own.
-        wakes = [int(self.rule.due(s) * 1000 // 1) + 1 for s in held.values()] + [-int(-e[2] * 1000 // 1) for e in rest[:1]]
+        wakes = [int(self.rule.due(s) * 1000 // 1) + 1 for s in held.values()] + [-int(-e[3] * 1000 // 1) for e in rest[:1]]
         if wakes:
             self._wake(min(wakes))
         if out:
@@ -98,7 +101,7 @@ def stateful(events: DataFrame, rule: Rule, late: str = "10 minutes") -> DataFra
     """
     events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _STORE)
     rows = events.select("key", "sub", "id", "ts", (F.unix_micros("ts") / 1e6).alias("at"), "kind").where("key IS NOT NULL AND sub IS NOT NULL AND ts IS NOT NULL")
-    return rows.withWatermark("ts", late).groupBy("key").transformWithStateInPandas(InOrder(rule), OUT, "Append", "EventTime")
+    return rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS))).withWatermark("ts", late).groupBy("bucket").transformWithStateInPandas(InOrder(rule), OUT, "Append", "EventTime")
 
 
 def replayed(events: DataFrame, rule: Rule, until: float | None = None) -> DataFrame:

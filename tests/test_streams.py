@@ -216,3 +216,18 @@ def test_limits_over_all_actors(spark, tmp_path):
     one_by_one = jobs.stream(spark, path, 1)
     budget = jobs.latest(jobs.token_budget(one_by_one, 1000, 1000), ["scope", "actor", "day"], "token-budget").collect()
     assert {(r.scope, r.actor): (r.tokens, r.over) for r in budget} == {("actor", 1): (451, False), ("actor", 2): (450, False), ("actor", 3): (450, False), ("all", None): (1351, True)}
+
+
+def test_keys_share_calls_and_state(spark, tmp_path):
+    """Keys that share a bucket are folded each by itself, and state is called for once a bucket, not once a key."""
+    rows = spark.createDataFrame([(f"task-{i}", "", 2 * i + k, 1000.0 + i % 7 + k, kind) for i in range(300) for k, kind in enumerate(("enqueue", "claim"))] + [("end", "", 9999, 9000.0, "enqueue")], "key string, sub string, id long, at double, kind string")
+    path = str(tmp_path / "in")
+    rows.select("key", "sub", "id", F.timestamp_micros((F.col("at") * 1e6).cast("long")).alias("ts"), "kind").coalesce(1).write.parquet(path)
+    events = spark.read.parquet(path)
+    live_rows = spark.readStream.schema(events.schema).parquet(path)
+    held, ordered.BUCKETS = ordered.BUCKETS, 3
+    try:
+        got = outputs(jobs.drained(ordered.stateful(live_rows, rules.Tasks(), "2 minutes"), "buckets"))
+    finally:
+        ordered.BUCKETS = held
+    assert got == outputs(ordered.replayed(events, rules.Tasks(), until=9000 - 120)) and len(got) == 900
