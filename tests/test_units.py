@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -136,6 +137,31 @@ def test_mentions_are_the_newest_of_each_concept(spark):
     assert found == {i: [j for j in order if j != i][:5] for i in range(60)}
 
 
+def test_a_task_keeps_no_more_than_a_page_of_each_needle():
+    rng = random.Random(5)
+    best = search._Best(pa.array(["a", "b", "c"]), 4)
+    rows = [(rng.randrange(2), rng.randrange(20) / 7, rng.choice([5, 6, search._NEVER]), i) for i in range(900)]
+    for k in range(0, 900, 100):
+        best.add(*(np.array(x) for x in zip(*rows[k : k + 100], strict=True)))
+        assert len(best.rows[0]) <= 8
+    best.n += 7
+    pages, totals = best.batches()
+    got = [(r["query_id"], r["id"]) for r in pages.to_pylist()]
+    assert got == [(name, r[3]) for q, name in enumerate("ab") for r in sorted((r for r in rows if r[0] == q), key=lambda r: (-r[1], -r[2], r[3]))[:4]]
+    assert totals.column("n").to_pylist() == [7, 7, 7] and totals.column("id").null_count == 3
+
+
+def test_word_similarities_of_few_needles_alone():
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(6))
+    needles, body = [word() for _ in range(40)], Grams(" ".join(word() for _ in range(60)))
+    index = words.Needles(needles, 0.4)
+    every = index.word_similarities(body, np.ones(40, bool))
+    low = every < 0.4
+    few = low & (np.arange(40) % 3 == 0)
+    assert few.any() and np.array_equal(index.word_similarities(body, few, True), np.where(few, every, 0.0))
+
+
 def test_fuzzy_fallback_agrees_with_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(search, "NEEDLES_AT_ONCE", 2)
     rng = random.Random(2)
