@@ -14,7 +14,7 @@ from kbspark.functions import text as T
 from kbspark.functions.markdown import chunks, headings, sections
 from kbspark.functions.places import numbered
 from kbspark.functions.text import common_lines
-from kbspark.functions import words
+from kbspark.functions import titles, words
 from kbspark.functions.words import Grams, trigram_list, word_similarity
 from kbspark.operators import corpus, curate, evidence, folders, links, review, search, usage, vectors
 from kbspark.operators.curate import fingerprint
@@ -127,6 +127,36 @@ def test_mentions(spark):
     assert found("f.x (a)", "call f.x (a) now") == [6] and found("zq-1 zq", None) == [] and found("é\tx", "an é\tx") == [4]
 
 
+def test_titles_agree_with_a_search_for_each():
+    """One index of all titles, whatever their number: every title's first place in every text."""
+    rng, inside = random.Random(1), set("abcdefghijklmnopqrstuvwxyz0123456789")
+
+    def place(title, text):
+        alone = all(" " <= c <= "~" for c in title) and not inside.isdisjoint(title)
+        at = text.find(title)
+        while at >= 0 and alone and (text[at - 1 : at] in inside or text[at + len(title) : at + len(title) + 1] in inside):
+            at = text.find(title, at + 1)
+        return at + 1
+
+    for _ in range(60):
+        word = lambda a, b: "".join(rng.choice("ab -é\U0001F600") for _ in range(rng.randint(a, b)))
+        names, texts = sorted({word(1, 9) for _ in range(40)}), [word(0, 60) if rng.random() > 0.1 else None for _ in range(12)]
+        got = {(int(i), int(j)): int(at) for i, j, at in zip(*titles.Titles(names).first(titles.Text(texts)), strict=True)}
+        assert got == {(i, j): at for i, t in enumerate(names) for j, x in enumerate(texts) if x and (at := place(t, x))}
+
+
+def test_mentions_in_blocks_and_slices(spark, monkeypatch):
+    rows = [(i, f"name {i % 5}", f"x name {(i + 1) % 5} and name {i % 5}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, title string, body string").withColumn("updated_at", F.expr("timestamp_seconds(id)")).coalesce(1)
+    monkeypatch.setattr(links, "TITLES_AT_ONCE", 2)
+    monkeypatch.setattr(links, "_BYTES_TOGETHER", 50)
+    assert {r.id: r.n for r in links.mention_counts(df).collect()} == {i: 11 for i in range(30)}
+    got = {}
+    for r in links.unlinked_mentions(df, limit=2).orderBy("target_id", "rank").collect():
+        got.setdefault(r.target_id, []).append(r.source_id)
+    assert got == {i: [j for j in range(29, -1, -1) if j != i and i % 5 in (j % 5, (j + 1) % 5)][:2] for i in range(30)}
+
+
 def test_mentions_are_the_newest_of_each_concept(spark):
     rows = [(i, "same words", "of same words" if i % 3 else "none") for i in range(60)]
     df = spark.createDataFrame(rows, "id long, title string, body string").withColumn("updated_at", F.expr("timestamp_seconds(id DIV 2)"))
