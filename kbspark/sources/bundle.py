@@ -121,13 +121,16 @@ def bundle_write(corpus: DataFrame, uri: str) -> DataFrame:
         from pyarrow import fs
 
         store, base = (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+        made: set[str] = set()
         for rows in batches:
             out = []
             for row in rows.to_dict("records"):
                 where = ("deprecated/" if row["status"] == "deprecated" else "") + folder(row["type"])
                 path = f"{where}/{slug(row['title'], row['key'])}"
                 data = render(row).encode()
-                store.create_dir(f"{base}/{where}", recursive=True)
+                if where not in made:
+                    store.create_dir(f"{base}/{where}", recursive=True)
+                    made.add(where)
                 held = f"{base}/{where}/.{uuid.uuid4().hex}.tmp"
                 with store.open_output_stream(held) as f:
                     f.write(data)
@@ -140,10 +143,16 @@ def bundle_write(corpus: DataFrame, uri: str) -> DataFrame:
     return materialise(rows.mapInPandas(run, "id long, path string, n_bytes long"), "bundle")
 
 
+#: Parts of a file listing that one task reads at most, where the cores have enough; Spark deals some thirty small files to a part.
+PARTS_TOGETHER = 256
+
+
 def bundle_read(spark: SparkSession, uri: str) -> DataFrame:
     """All Markdown files below ``uri`` but index.md and log.md, as rows or with an error (``ROWS``)."""
     files = spark.read.text(uri, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     files = files.where(~F.element_at(F.split("file", "/"), -1).isin("index.md", "log.md"))
+    # Each task starts a Python worker; a task for thirty files would take longer for that than for them.
+    files = files.coalesce(max(8 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // PARTS_TOGETHER))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("file", pa.string()), ("error", pa.string()), ("id", pa.int64()), ("title", pa.string()), ("type", pa.string()), ("description", pa.string()), ("category", pa.string()), ("status", pa.string()), ("tags", pa.list_(pa.string())), ("body", pa.string())])

@@ -127,6 +127,14 @@ def test_mentions(spark):
     assert found("f.x (a)", "call f.x (a) now") == [6] and found("zq-1 zq", None) == [] and found("é\tx", "an é\tx") == [4]
 
 
+def test_a_bundle_of_many_files_is_read_by_few_tasks(spark, tmp_path):
+    for i in range(3000):
+        (tmp_path / f"f{i}.md").write_text(f"---\ntitle: t{i}\n---\nbody {i}\n")
+    got = bundle.bundle_read(spark, f"file://{tmp_path}")
+    assert got.rdd.getNumPartitions() <= 8 * spark.sparkContext.defaultParallelism
+    assert {r.title for r in got.where("error IS NULL").collect()} == {f"t{i}" for i in range(3000)}
+
+
 def test_titles_agree_with_a_search_for_each():
     """One index of all titles, whatever their number: every title's first place in every text."""
     rng, inside = random.Random(1), set("abcdefghijklmnopqrstuvwxyz0123456789")
