@@ -81,6 +81,30 @@ def test_word_similarity_agrees_with_all_stretches(monkeypatch):
     assert word_similarity("red fox", Grams("red " + "zz " * 200_000 + "fox")) > 0.72 and word_similarity("ab", Grams("")) == 0.0
 
 
+def test_blocks_of_starts_are_left_out_only_where_no_stretch_reaches_the_level(monkeypatch):
+    rng = random.Random(5)
+    monkeypatch.setattr(words, "_MANY", 1)
+    kept = []
+    able = words.Needles._able
+
+    def counted(self, text, needle, at, begin, *rest):
+        out = able(self, text, needle, at, begin, *rest)
+        kept.append((len(begin), len(out)))
+        return out
+
+    monkeypatch.setattr(words.Needles, "_able", counted)
+    for seed in range(60):
+        monkeypatch.setattr(words, "_BLOCK", rng.choice([1, 3, 16]))
+        monkeypatch.setattr(words, "_TOGETHER", rng.choice([2, 256]))
+        letters = rng.choice(["abcd ", "abcdefghijk    ", "ab "])
+        needles = ["".join(rng.choice(letters) for _ in range(rng.choice([8, 20, 30]))) for _ in range(5)]
+        body = "".join(rng.choice(letters) for _ in range(90)) + rng.choice(["", needles[0][:15], " zz" * 30 + " " + needles[1]])
+        exact, always = [best_stretch(x, body) for x in needles], np.array([True, False, True, False, False])
+        got = words.Needles(needles, 0.4).word_similarities(Grams(body), always)
+        assert np.allclose(got, [x if x >= 0.4 or a else 0.0 for x, a in zip(exact, always, strict=True)], atol=1e-12)
+    assert sum(b for _, b in kept) < 0.9 * sum(a for a, _ in kept)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab\n ", max_size=300), st.integers(1, 60), st.integers(0, 30))
 def test_chunks_cover_and_advance(body, target, overlap):
