@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import squeezed
 from ..operators.usage import ZONE
-from ..operators.vectors import chunk_corpus, chunk_publish
+from ..operators.vectors import chunk_corpus
 from ..session import materialise, new_dir
-from .versions import Versioned
+from .versions import Layered, Versioned
 
 
 def stream(spark: SparkSession, path: str, files: int | None = 8) -> DataFrame:
@@ -155,19 +155,25 @@ def retention(log: DataFrame, as_of: str, days: int = 180, root: str | None = No
 def chunk_refresh(saves: DataFrame, stored: DataFrame, root: str | None = None) -> DataFrame:
     """A stream of saves (id, seq, content_hash, body): only concepts whose text has changed are cut again, and published whole.
 
-    The chunk table is kept in versions below ``root``, one for each batch.
+    The chunk table is kept below ``root``, with a layer for each batch that has only the
+    concepts that it has cut.  A batch's texts are shuffled once, to find each concept's
+    last save; what the table holds is met by id and hash, and no stored text is read.
+    A concept is cut in one place from one save, so its set is whole.
     """
     spark = saves.sparkSession
     root = root or new_dir(spark, "chunks")
-    table = Versioned(spark, f"{root}/table")
-    table.start(stored.select("id", "ordinal", "content_hash", "text"))
+    columns = stored.select("id", "ordinal", "content_hash", "text")
+    table = Layered(spark, f"{root}/table", "id", ", ".join(f"{c} {kind}" for c, kind in columns.dtypes))
+    table.start(columns)
 
     def publish(held: DataFrame, rows: DataFrame) -> DataFrame:
+        saved = materialise(rows.select("id", "content_hash").distinct(), "saved")
+        same = held.select("id", "content_hash").join(saved, ["id", "content_hash"], "left_semi").groupBy("id").agg(F.collect_set("content_hash").alias("same"))
         last = rows.groupBy("id").agg(F.max_by(F.struct("content_hash", "body"), "seq").alias("s")).select("id", "s.*")
-        last = materialise(last.join(held.select("id", "content_hash").distinct(), ["id", "content_hash"], "left_anti"), "changed")
-        cut = chunk_corpus(last).join(last.select("id", "content_hash"), "id")
-        size = cut.groupBy("id").agg(F.count(F.lit(1)).alias("n_chunks"))
-        return chunk_publish(held, cut.join(size, "id"), last)
+        # By id alone, as they lie already: texts are not shuffled again.
+        met = last.where("id IS NOT NULL AND content_hash IS NOT NULL").join(same, "id", "left")
+        changed = met.where(~F.coalesce(F.array_contains("same", F.col("content_hash")), F.lit(False)))
+        return chunk_corpus(changed, keep=("content_hash",)).select("id", "ordinal", "content_hash", "text")
 
     each_batch(saves, "chunk-refresh", table.step(publish), root=root)
     return table.read()

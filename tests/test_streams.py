@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from kbspark.plans import streams
 from kbspark.session import new_dir
 from kbspark.streaming import jobs, ordered, rules
-from kbspark.streaming.versions import Versioned
+from kbspark.streaming.versions import Layered, Versioned
 
 
 def said(rule, events):
@@ -202,6 +202,25 @@ def test_chunk_refresh_goes_on_from_its_table(spark, tmp_path):
     assert read([(3, 1, "d", "three")], 1) == [*want, (3, 0, "d", "three")]
 
 
+def test_chunk_refresh_writes_only_what_a_batch_has_cut(spark, tmp_path):
+    """Layers on one another, merged now and then; before, each batch wrote the whole table again."""
+    root = new_dir(spark, "chunks")
+    saves = "id long, seq int, content_hash string, body string"
+    stored = spark.range(40).selectExpr("id", "0 AS ordinal", "'a' AS content_hash", "'old' AS text").union(spark.sql("SELECT NULL, 0, 'a', 'of none'"))
+    want = {i: ("a", "old") for i in range(40)} | {None: ("a", "of none")}
+    batches = [[(1, "b", "one")], [(1, "c", "two"), (2, "b", ""), (3, "a", "the same")], [(None, "x", "no id"), (4, None, "no hash")], [(i, "m", f"text {i}") for i in range(40)], [(i, "n", "again") for i in range(39)] + [(50, "n", None)], [(1, "z", "end")]]
+    wrote, bases = [], []
+    for number, rows in enumerate(batches):
+        spark.createDataFrame([(i, 1, h, b) for i, h, b in rows], saves).coalesce(1).write.parquet(str(tmp_path / f"in-{number}"))
+        source = spark.readStream.schema(saves).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in-*"))
+        found = jobs.chunk_refresh(source, stored, root=root)
+        want |= {i: (h, b or "") for i, h, b in rows if i is not None and h is not None and want.get(i, ("",))[0] != h}
+        assert {r.id: (r.content_hash, r.text) for r in found.collect()} == want and found.count() == len(want)
+        wrote.append(spark.read.parquet(f"{root}/table/v={number}").count())
+        bases.append(Layered(spark, f"{root}/table", "id", "id long")._bases()[-1])
+    assert wrote == [1, 2, 0, 40, 40, 1] and bases == [-1, -1, -1, -1, 4, 4]
+
+
 def test_limits_over_all_actors(spark, tmp_path):
     """Three actors stay below their own limit and together exceed the one over all; the calls come in two triggers."""
     rows = [(f"2024-01-01 10:00:{s:02d}", actor, 100, None if s % 2 else 50) for s in range(0, 30, 5) for actor in (1, 2, 3)] + [("2024-01-01 12:00:00", 1, 1, None)]
