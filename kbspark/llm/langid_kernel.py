@@ -39,6 +39,8 @@ SAMPLE, ALL_LANDMARKS, LANGUAGES = 40_000, 1536, 8000
 RIDGE = 1e-3
 #: Outputs are near 0 or 1; this makes their softmax a share.
 SHARPNESS = 8.0
+#: A score from which a language is as likely as all others together.
+MAJORITY = 0.5
 TRIGRAMS = 1 << 14
 #: Two-grams are hashed too, to as many places.
 BIGRAMS = 1 << 12

@@ -698,6 +698,18 @@ def test_pipeline_stage_by_stage(spark, sf_dir, none):
         assert stage(spark, empty, sf_dir).count() == 0
 
 
+def test_pipeline_leaves_out_texts_whose_language_cannot_be_told(spark, sf_dir):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    unsure = [(10**9, "zqx"), (10**9 + 1, "ZZQX JJKQ!! " * 50), (10**9 + 2, "の漢字"), (10**9 + 3, "1234 ... 5678")]
+    more = docs.unionByName(spark.createDataFrame([(i, t, None, "src1", len(t)) for i, t in unsure], "doc_id long, text string, lang string, source string, n_chars long").select([F.col(c).cast(k) for c, k in docs.dtypes]))
+    kept = p.language_id(spark, more, sf_dir)
+    assert kept.where(F.col("doc_id") >= 10**9).count() == 0
+    clear = {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+    assert {r.doc_id for r in kept.collect()} == clear
+
+
 def thue_morse(n):
     word = "a"
     for _ in range(n):
