@@ -105,6 +105,24 @@ def test_blocks_of_starts_are_left_out_only_where_no_stretch_reaches_the_level(m
     assert sum(b for _, b in kept) < 0.9 * sum(a for a, _ in kept)
 
 
+def test_bounds_of_stretches_hold_and_exact_ones_lie_between(monkeypatch):
+    rng = random.Random(3)
+    for seed in range(60):
+        monkeypatch.setattr(words, "_LANES", rng.choice([1, 64, 1 << 13]))
+        monkeypatch.setattr(words, "_CELLS", rng.choice([30, 1 << 24]))
+        letters, size = rng.choice([("abcd ", 40), ("ab ", 60), ("abcdefghijk    ", 90), ("a ", 50), ("abcdefghijk    ", 0)])
+        needles = ["".join(rng.choice(letters) for _ in range(rng.choice([3, 8, 20, 40]))) for _ in range(6)]
+        body = "".join(rng.choice(letters) for _ in range(size)) + (rng.choice(["", " ab" * 12, " zz" * 20 + " abc"]) if size else "")
+        grams, index = Grams(body), words.Needles(needles, 0.4)
+        met = index.met(grams)
+        both = np.bincount(met[1], minlength=6)
+        some = np.flatnonzero(both > 0)
+        low, high = index.bounds(grams, some, met, both)
+        exact = np.array([best_stretch(x, body) for x in needles])
+        assert (low[some] <= exact[some] + 1e-12).all() and (high[some] >= exact[some] - 1e-12).all()
+        assert np.allclose(index.exact(grams, low, both)[some], exact[some], atol=1e-12)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab\n ", max_size=300), st.integers(1, 60), st.integers(0, 30))
 def test_chunks_cover_and_advance(body, target, overlap):
