@@ -20,8 +20,8 @@ def bundle_write(spark, d):
 def bundle_read(spark, d):
     """All live concepts, written as files and read back."""
     uri = new_dir(spark, "bundle-files")
-    op.bundle_write(fx.corpus(spark, d), uri)
-    return op.bundle_read(spark, uri).where("error IS NULL").select("id", "title", "type", "description", "category", "status", F.array_join("tags", ",").alias("tags"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"))
+    written = op.bundle_write(fx.corpus(spark, d), uri)
+    return op.bundle_read(spark, uri, written).where("error IS NULL").select("id", "title", "type", "description", "category", "status", F.array_join("tags", ",").alias("tags"), F.sha2(F.col("body").cast("binary"), 256).alias("body_sha"))
 
 
 @register("bundle_manifest", sql("""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.places import numbered
-from ..session import materialise
+from ..session import materialise, over_all_cores
 
 # Limits of header fields, states, and folders of type words.
 CLAMPS = {"type": 64, "description": 1000, "category": 200}
@@ -110,6 +110,13 @@ def folder(kind: str) -> str:
     return next((FOLDERS[w] for w in words if w in FOLDERS), words[0] if words else "notes")
 
 
+def _store(uri: str):
+    """A folder's file system and its path there, as tasks open it."""
+    from pyarrow import fs
+
+    return (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+
+
 def bundle_write(corpus: DataFrame, uri: str) -> DataFrame:
     """Write one Markdown file per concept below ``uri``; returns (id, path, n_bytes).
 
@@ -118,9 +125,7 @@ def bundle_write(corpus: DataFrame, uri: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, base = (fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
+        store, base = _store(uri)
         made: set[str] = set()
         for rows in batches:
             out = []
@@ -147,18 +152,44 @@ def bundle_write(corpus: DataFrame, uri: str) -> DataFrame:
 PARTS_TOGETHER = 256
 
 
-def bundle_read(spark: SparkSession, uri: str) -> DataFrame:
-    """All Markdown files below ``uri`` but index.md and log.md, as rows or with an error (``ROWS``)."""
-    files = spark.read.text(uri, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    files = files.where(~F.element_at(F.split("file", "/"), -1).isin("index.md", "log.md"))
-    # Each task starts a Python worker; a task for thirty files would take longer for that than for them.
-    files = files.coalesce(max(8 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // PARTS_TOGETHER))
+#: Bytes of files that a task parses together.
+BYTES_TOGETHER = 4 << 20
+
+
+def bundle_read(spark: SparkSession, uri: str, written: DataFrame | None = None) -> DataFrame:
+    """All Markdown files below ``uri`` but index.md and log.md, as rows or with an error (``ROWS``).
+
+    Where a table of the files' paths is at hand (``written``, as ``bundle_write`` gives
+    it), tasks open the files by it and no list of them is made on the driver.
+    """
+    named = written is not None
+    if named:
+        paths = over_all_cores(written.select("path"), "path").distinct()
+        files = paths.where(F.endswith("path", F.lit(".md")) & ~F.element_at(F.split("path", "/"), -1).isin("index.md", "log.md"))
+    else:
+        files = spark.read.text(uri, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+        files = files.where(~F.element_at(F.split("file", "/"), -1).isin("index.md", "log.md"))
+        # Each task starts a Python worker; a task for thirty files would take longer for that than for them.
+        files = files.coalesce(max(8 * spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions() // PARTS_TOGETHER))
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]:
+        store, base = _store(uri)
+        held, size = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(f"{base}/{path}") as f:
+                    data = f.read()
+                held.append((path, data.decode("utf-8", "replace")))
+                size += len(data)
+                if size >= BYTES_TOGETHER:
+                    yield held
+                    held, size = [], 0
+        yield held
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = pa.schema([("file", pa.string()), ("error", pa.string()), ("id", pa.int64()), ("title", pa.string()), ("type", pa.string()), ("description", pa.string()), ("category", pa.string()), ("status", pa.string()), ("tags", pa.list_(pa.string())), ("body", pa.string())])
-        for batch in batches:
-            rows = [{"file": os.path.basename(f)} | parse(t) for f, t in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pylist(rows, kinds)
+        for texts in opened(batches) if named else (zip(b.column("file").to_pylist(), b.column("text").to_pylist(), strict=True) for b in batches):
+            yield pa.RecordBatch.from_pylist([{"file": os.path.basename(f)} | parse(t) for f, t in texts], kinds)
 
     return files.mapInArrow(run, ROWS)
 
